@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -176,8 +177,6 @@ def decode(raw: bytes | None) -> str | None:
 
 def contents(tree: DataFrame) -> DataFrame:
     """rel_path and decoded text of the files that are text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(raw: pd.Series) -> pd.Series:
         return raw.map(decode)
