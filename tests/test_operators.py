@@ -86,7 +86,7 @@ def test_related_adds_signals(spark):
     owners = spark.createDataFrame([("p/a.py", ["@u"]), ("x.py", ["@u"]), ("q/r/a.py", ["@v"])], "rel_path string, owners array<string>")
     got = {r.rel_path: (round(r.score, 6), r.signals) for r in related.related("p/a.py", files, imports, tests, pairs, scores, owners).collect()}
     assert set(got) == {"p/b.py", "p/test_a.py", "q/r/a.py", "x.py"}
-    assert got["x.py"] == (0.810 + 0.000 if False else round(0.8 + 0.2 * (1 - 2.718281828459045 ** (-0.05 / 1.5)), 6), ["co-change", "same-owner"])
+    assert got["x.py"] == (round(0.8 + 0.2 * (1 - 2.718281828459045 ** (-0.05 / 1.5)), 6), ["co-change", "same-owner"])
     assert got["q/r/a.py"] == (0.6, ["same-name"])
     assert got["p/b.py"][1] == ["same-directory", "imports", "hotspot-dep"]
 
