@@ -42,6 +42,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many ids (48 MB as longs) are broadcast; more meet by a shuffle.
+BROADCAST_IDS = 6_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared file system, whatever its scheme."""
     jvm = spark.sparkContext._jvm
