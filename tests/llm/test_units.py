@@ -1,0 +1,263 @@
+"""Pure parts of the operators against brute force."""
+
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quarrylens.llm import fingerprint, jaccard, language, licenses, neardup, packing, pieces, pii, quality, warc
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9), st.integers(0, 40))
+def test_fullest_is_the_best_subset(sizes, room):
+    counts = {s: sizes.count(s) for s in sizes}
+    got = packing.fullest(counts, room)
+    best = max(sum(c) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) <= room)
+    assert sum(got) == best
+    assert all(got.count(s) <= counts[s] for s in got)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40))
+def test_bins_hold_every_piece_once(sizes):
+    bins = packing.minimum_slack(sizes, 30)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 30 for b in bins)
+
+
+WORDS = st.lists(st.sampled_from("a b c d e".split()), max_size=12)
+
+
+@settings(max_examples=80, deadline=None)
+@given(WORDS, WORDS, st.data())
+def test_spans_and_extensions(a, b, data):
+    known = fingerprint.Codes()
+    p, q = (fingerprint.Prefix(fingerprint.codes(" ".join(x), known)) for x in (a, b))
+    i, j = data.draw(st.integers(0, len(a))), data.draw(st.integers(0, len(b)))
+    n = data.draw(st.integers(0, min(len(a) - i, len(b) - j)))
+    assert fingerprint.equal(p, i, q, j, n) == (a[i : i + n] == b[j : j + n])
+    right = next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))
+    left = next((k for k in range(min(i, j)) if a[i - 1 - k] != b[j - 1 - k]), min(i, j))
+    assert fingerprint.extend(p, i, q, j) == right
+    assert fingerprint.extend_left(p, i, q, j) == left
+    assert p.windows(3).tolist() == [fingerprint.Prefix(fingerprint.codes(" ".join(a[k : k + 3]), known)).windows(3)[0] for k in range(max(0, len(a) - 2))]
+
+
+def brute_passages(a, b, least):
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                n = next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))
+                if n >= least:
+                    out.add((7, i, j, n))
+    return sorted(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("a b c".split()), max_size=30), st.lists(st.sampled_from("a b c".split()), max_size=20))
+def test_passages_equal_brute_force(a, b):
+    items = fingerprint.Items([(7, " ".join(b))], 3)
+    assert fingerprint.passages(fingerprint.Prefix(fingerprint.codes(" ".join(a), fingerprint.Codes())), items, 3, 4) == brute_passages(a, b, 4)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.integers(0, 4), max_size=14))
+def test_matching_statistics(seqs, text):
+    auto = licenses.Automaton(seqs)
+    subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    for i, (state, n) in enumerate(auto.statistics(text)):
+        want = max((k for k in range(i + 2) if k == 0 or tuple(text[i + 1 - k : i + 1]) in subs), default=0)
+        assert n == want
+        if n:
+            own = tuple(text[i + 1 - n : i + 1])
+            places = {(k, e) for k, s in enumerate(seqs) for e in range(n, len(s) + 1) if tuple(s[e - n : e]) == own}
+            assert set(auto.ends[state]) == places
+
+
+def test_licence_spans():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    mit = licenses.TEMPLATES["MIT"]
+    text = f"zzz qqq {mit} more\nLicensed under CC BY-NC 4.0. the end All rights reserved."
+    assert [x[0] for x in s.spans(text)] == ["MIT", "CC-BY-NC-4.0-line", "All-rights-reserved"]
+    broken = mit.replace("free of charge", "free xx of charge").replace("without restriction", "without yy restriction")
+    assert [x[0] for x in s.spans(broken)] == ["MIT"]
+    assert s.spans("the of and a software") == s.spans("") == []
+
+
+def test_sketch_distance_is_a_lower_bound():
+    rng = np.random.default_rng(3)
+    for n in (10, 40, 150, 900):
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(n * 0.8)], rng.integers(0, 1 << 62, n // 6, dtype=np.uint64)]))
+        at = jaccard.band(n)
+        x, y = jaccard.sketch(a, at)[0], jaccard.sketch(b, at)[0]
+        assert sum(int(v).bit_count() for v in (x ^ y)) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_bands_lose_few_pairs():
+    rng, h = random.Random(5), jaccard.Hashes()
+    met = total = 0
+    for n in (8, 20, 40, 90, 180, 400, 1500):
+        for _ in range(30):
+            a = [f"word{rng.randrange(10**6)}" for _ in range(n)]
+            b = [w if rng.random() > 0.06 else f"other{rng.randrange(10**6)}" for w in a]
+            x, y = (jaccard.grams(" ".join(t), 2, h) for t in (a, b))
+            j = len(set(x) & set(y)) / len(set(x) | set(y))
+            if j >= 0.65:
+                total += 1
+                (ka, ba), (kb, _) = jaccard.keys(x, 0.65), jaccard.keys(y, 0.65)
+                shared = set(ka.tolist()) & set(kb.tolist())
+                low = any(k in shared for k, n_ in zip(ka.tolist(), ba.tolist(), strict=True) if n_ < 2)
+                met += low or len(shared) >= jaccard.SHARED
+    assert total > 100
+    assert met / total >= 0.95
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(0)
+    net = language.train([b"hello there", b"guten tag"], ["en", "de"], hidden=3, steps=1)
+    x, mask, per = language.frames([b"some text", b"anderes"], 16)
+    y = np.array([0, 1])
+    params = [*net.table, *net.rec, net.out, net.bias]
+    for i, p in enumerate(params):
+        params[i][...] = rng.standard_normal(p.shape) * 0.3
+
+    def loss():
+        p = net.label(x, mask)
+        return -sum(np.log(p[t, y[n], n]) for t in range(16) for n in range(2) if mask[t, n]) / mask.sum()
+
+    grads = language.gradients(net, x, mask, y)
+    for p, g in zip(params, grads, strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        keep, eps = p[at], 1e-2
+        p[at] = keep + eps
+        up = loss()
+        p[at] = keep - eps
+        down = loss()
+        p[at] = keep
+        assert abs((up - down) / (2 * eps) - g[at]) < 2e-2 * max(0.05, abs(g[at]))
+
+
+def test_frames_cover_every_byte():
+    texts = [b"", b"a" * 64, b"b" * 65, b"c"]
+    x, mask, per = language.frames(texts)
+    assert per.tolist() == [0, 1, 2, 1]
+    assert mask.sum() == sum(map(len, texts))
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.model(pieces.MODEL)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=6))
+def test_pieces_equal_the_library(texts):
+    m = pieces.model(pieces.MODEL)
+    texts = [t.replace("\0", "").encode("utf-8", "ignore").decode() for t in texts]
+    got = m.encode(texts)
+    assert [g.tolist() for g in got] == m.sp.encode(texts, num_threads=1)
+    assert [m.decode(g.tolist()) for g in got] == [m.sp.decode(g.tolist()) for g in got]
+
+
+def test_unigram_values_are_viterbi(model):
+    m = pieces.Model(pieces.MODEL)
+    m.bpe, m.ids = False, {"a": 0, "b": 1, "ab": 2, "aba": 3}
+    m.score, m.known, m.ends = [-1.0, -1.0, -1.5, -4.0], {"a", "b"}, {"ab": (2, 1), "ba": (2, 1), "aba": (3, 2, 1)}
+    m.sp = type("S", (), {"id_to_piece": staticmethod(lambda i: ["a", "b", "ab", "aba"][i])})
+    m.words = {}
+    m.solve(sorted({"aba", "abab", "b"}))
+    assert m.words == {"aba": (2, 0), "abab": (2, 2), "b": (1,)}
+
+
+def test_identifiers():
+    found = {(v, k) for _, v, k, _ in pii.candidates("mail a.b@c.example.org, +1 (555) 010-9999 or 10.0.0.255; card 4111111111111111 no 300.1.1.1 1234567 token = \"0123456789abcdef0123\" v1.2")}
+    assert {("a.b@c.example.org", "email"), ("+1 (555) 010-9999", "phone"), ("10.0.0.255", "ip"), ("4111111111111111", "card"), ("0123456789abcdef0123", "secret"), ("1234567", None), ("300.1.1.1", None)} == found
+    assert pii.candidates("") == pii.candidates("no digits here @ all") == []
+    long = "x" * 50_000 + " 192.168.1.10 " + "9" * 50_000
+    assert [k for _, _, k, _ in pii.candidates(long)] == ["ip", None]
+
+
+def test_shapes_of_tokens():
+    ids = quality.Ids()
+    f, v = quality.features("Der Der Der!!", ids)
+    assert quality.WIDTH + quality.SHAPES - 1 in f.tolist()
+    assert len(quality.features("", ids)[0]) == 0
+
+
+def test_votes_weigh_by_similarity():
+    m = quality.Model(np.eye(2, dtype=np.float32), np.array([[1, 0], [0, 1]], np.float32), np.array([1.0, 0.0]))
+    assert m.score(np.array([[1, 0], [0, 1]], np.float32)).round(3).tolist() == [1.0, 0.0]
+    assert quality.Model(np.eye(2, dtype=np.float32), np.zeros((0, 2), np.float32), np.zeros(0)).score(np.eye(2, dtype=np.float32)).tolist() == [0.5, 0.5]
+
+
+def test_projections_find_near_vectors():
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((300, 32))
+    near = base + rng.standard_normal((300, 32)) * 0.2 * 0.9
+    x = np.concatenate([base, near]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if i < j}
+    plan = neardup.Plan(len(x), 32)
+    keys, got = plan.keys(x), []
+    for t in range(plan.tables):
+        for k in np.unique(keys[:, t]):
+            own = np.flatnonzero(keys[:, t] == k)
+            if len(own) > 1:
+                got += [(a, b) for a, b, _ in plan.pairs(t, own, x[own])]
+    assert len(got) == len(set(got))
+    assert len(want) > 100
+    assert set(got) <= want
+    assert len(set(got)) >= 0.9 * len(want)
+
+
+class Sink(list):
+    def write(self, b):
+        self.append(bytes(b))
+        return len(b)
+
+
+class Source:
+    def __init__(self, data, step=7):
+        self.data, self.step, self.at = data, step, 0
+
+    def read(self, n):
+        got = self.data[self.at : self.at + min(n, self.step)]
+        self.at += len(got)
+        return got
+
+
+def normal(data):
+    out = Sink()
+    rows = list(warc._records(warc.Stream(Source(data)), out, "f"))
+    return rows, b"".join(out)
+
+
+def gz(data):
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
+def test_records_become_members():
+    pages = [(1, "http://a", "x" * 3000), (2, None, ""), (None, "u", None), (4, "v", "é\r\n\r\nWARC/1.1")]
+    recs = [warc.record(*p) for p in pages]
+    for stream in (gz(b"".join(recs)), b"".join(map(gz, recs)), gz(recs[0] + recs[1][:9]) + gz(recs[1][9:] + recs[2] + recs[3])):
+        rows, out = normal(stream)
+        assert [r[8] for r in rows] == [None] * 4
+        assert [zlib.decompress(out[r[4] : r[4] + r[5]], 31) for r in rows] == recs
+        assert sum(r[5] for r in rows) == len(out)
+
+
+def test_damaged_streams_keep_what_came_before():
+    data = gz(warc.record(1, "a", "x" * 99) + warc.record(2, "b", "y" * 5000))
+    rows, _ = normal(data[:-60])
+    assert [r[2] for r in rows if not r[8]] == [1]
+    assert rows[-1][8]
+    assert normal(b"not gzip")[0][-1][8]
+    assert normal(gz(b"")) == ([], b"")
