@@ -240,7 +240,7 @@ SEARCH = """named as (select file_path as rel_path, case when lower(name) = 'ing
 union all select rel_path, case when contains(lower(string_split(rel_path, '/')[-1]), 'ing') then 0.6 else 0.4 end, 1, false from files where class in ('source', 'test', 'config') and contains(lower(rel_path), 'ing')
 union all select rel_path, 0.3, 2, false from docs join files using (rel_path) where class = 'source' and contains(lower(text[1:200]), 'ing')),
 texts as (select rel_path, 0.2 as w, 3 as tier, false as exact from docs join files using (rel_path) where class in ('source', 'test', 'config') and contains(lower(text), 'ing') and rel_path not in (select rel_path from named)),
-summed as (select rel_path, least(1.0, sum(w)) as s, arg_min(tier, (-w, tier)) as tier, bool_or(exact) as exact from (from named union all from texts) group by 1)
+summed as (select rel_path, least(1.0, sum(w))::double as s, arg_min(tier, (-w, tier)) as tier, bool_or(exact) as exact from (from named union all from texts) group by 1)
 select rel_path, round((case when class = 'test' and not exact and (select bool_or(class <> 'test') from summed join files using (rel_path)) then s * 0.85 else s end)::double, 9) as score, ['symbol', 'file_path', 'preview', 'content'][tier + 1] as tier
 from summed join files using (rel_path) order by score desc, rel_path limit 30"""
 
