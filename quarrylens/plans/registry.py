@@ -369,3 +369,46 @@ def upsert(s, d):
 @query("refresh_equals_rebuild", sql("docs", "files", select="select rel_path, size * 2 as value from files"))
 def refresh_equals_rebuild(s, d):
     return maintain.refreshed(stored_files(s, d), bind.files(s, d), lambda f: f.select("rel_path", (F.col("size") * 2).alias("value")))
+
+
+@query("line_counts", sql("docs", "lines", select="select rel_path, count(*) as lines, max(length(text))::bigint as longest from lines group by 1"))
+def line_counts(s, d):
+    return grep.lines(bind.contents(s, d)).groupBy("rel_path").agg(F.count("*").alias("lines"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("glob_match", sql("docs", "files", select=r"select rel_path from files where regexp_matches(rel_path, '^src1[^/]*/(?:.+/)?[^/]*\.[^x]y$')"))
+def glob_match(s, d):
+    return bind.files(s, d).where(F.col("rel_path").rlike(paths.glob_regex("src1*/**/*.[!x]y"))).select("rel_path")
+
+
+@query("subtree", sql("docs", "files", select="select rel_path from files where starts_with(rel_path, 'src3/en/')"))
+def subtree(s, d):
+    return bind.files(s, d).where(paths.under(F.col("rel_path"), "src3/en/")).select("rel_path")
+
+
+@query("all_tokens", sql("docs", select="select rel_path from docs where contains(lower(text), 'tion') and contains(lower(text), 'the ')  and contains(lower(text), 'ing')"))
+def all_tokens(s, d):
+    c = bind.contents(s, d)
+    return c.where(paths.all_tokens_in(F.col("content"), "TION ing") & F.lower("content").contains("the ")).select("rel_path")
+
+
+@query("path_parts", sql("page_paths", select=r"""select rel_path, regexp_replace(rel_path, '/?[^/]*$', '') as dir, string_split(rel_path, '/')[-1] as base, lower(regexp_extract(string_split(rel_path, '/')[-1], '(\.[^.]*)$', 1)) as ext,
+regexp_replace(string_split(rel_path, '/')[-1], '\.[^.]*$', '') as stem, case when contains(rel_path, '/') then string_split(rel_path, '/')[1] else '.' end as top from page_paths"""))
+def path_parts(s, d):
+    p = F.col("rel_path")
+    return bind.pages(s, d).select("rel_path", paths.dir_of(p).alias("dir"), paths.base_of(p).alias("base"), paths.ext_of(p).alias("ext"), paths.stem_of(p).alias("stem"), paths.top_segment(p).alias("top"))
+
+
+@query("import_stats", """with s as (select l_suppkey as k, l_orderkey as o, l_linenumber as n, 'p' || (l_partkey % 50) as spec, case l_returnflag when 'A' then 'resolved' when 'N' then 'external' else 'unresolved' end as bucket from lineitem),
+f as (select k, spec, min((o, n)) as pos from s where bucket = 'unresolved' group by 1, 2),
+u as (select k, array_to_string(list(spec order by pos)[1:20], ',') as specs from f group by 1)
+select 's/' || k as rel_path, 'x' as lang, count(*) as extracted, count(*) filter (bucket = 'resolved') as resolved, count(*) filter (bucket = 'external') as external, count(*) filter (bucket = 'unresolved') as unresolved, coalesce(max(specs), '') as unresolved_specs from s left join u using (k) group by k""")
+def import_stats(s, d):
+    bucket = F.when(F.col("l_returnflag") == "A", "resolved").when(F.col("l_returnflag") == "N", "external").otherwise("unresolved")
+    specs = t(s, d, "lineitem").select(F.concat(F.lit("s/"), "l_suppkey").alias("rel_path"), F.lit("x").alias("lang"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("spec"), F.struct("l_orderkey", "l_linenumber").alias("ord"), bucket.alias("bucket"))
+    return metrics.import_stats(specs).withColumn("unresolved_specs", F.array_join("unresolved_specs", ","))
+
+
+@query("test_status", sql("docs", "files", "doc_tests", select="select rel_path as test_path, case when rel_path in (select test_path from doc_tests) then 'mapped' when rel_path like '%.py' then 'no_match' else 'unsupported' end as status from files where class = 'test'"))
+def test_status(s, d):
+    return lookup.test_status(bind.doc_tests(s, d), bind.files(s, d), s.createDataFrame([("py",)], "ext string"))
