@@ -401,7 +401,7 @@ def path_parts(s, d):
 
 @query("import_stats", """with s as (select l_suppkey as k, l_orderkey as o, l_linenumber as n, 'p' || (l_partkey % 50) as spec, case l_returnflag when 'A' then 'resolved' when 'N' then 'external' else 'unresolved' end as bucket from lineitem),
 f as (select k, spec, min((o, n)) as pos from s where bucket = 'unresolved' group by 1, 2),
-u as (select k, array_to_string(list(spec order by pos)[1:20], ',') as specs from f group by 1)
+u as (select k, array_to_string(list(spec order by pos, spec)[1:20], ',') as specs from f group by 1)
 select 's/' || k as rel_path, 'x' as lang, count(*) as extracted, count(*) filter (bucket = 'resolved') as resolved, count(*) filter (bucket = 'external') as external, count(*) filter (bucket = 'unresolved') as unresolved, coalesce(max(specs), '') as unresolved_specs from s left join u using (k) group by k""")
 def import_stats(s, d):
     bucket = F.when(F.col("l_returnflag") == "A", "resolved").when(F.col("l_returnflag") == "N", "external").otherwise("unresolved")
