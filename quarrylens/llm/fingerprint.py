@@ -11,10 +11,21 @@ up by their span hash and extended both ways by binary search. The items are bro
 for each of their windows, while they take up at most `BROADCAST_BYTES`; beyond that the windows are
 joined by a shuffle and the same extension runs for the documents that hold one.
 
+Passages that documents share with each other are found exactly: `repeated` covers the words of every
+window of `REPEAT` words that another word sequence holds too. Each such window is filed under the lowest
+hash of its spans of half that length. Only these lowest hashes of all documents meet, a few for a hundred
+words; then the whole windows under the hashes that several word sequences hold. A window's class is the
+place where the document with the smallest id holds it first, and windows that follow each other in both
+texts are one passage, so what thousands share costs each of them a line. Two documents whose
+passages overlap by `REPEAT` words or more in the same first document share those words.
+
 Defined results: a null or empty text, or one without words, has 0 words, fingerprint 0 and no
 passages, and is a copy of the smallest such id; null ids are kept and never are the first copy of
 a document that has an id; repeated rows get equal results; of equal passages of several items all are
-listed, ordered by (item_id, start, item_start); an empty table gives no rows. Other columns are never
+listed, ordered by (item_id, start, item_start); copies of a word sequence have the same `repeated`, ordered
+by start, and don't make a passage repeated by themselves; first_doc is null where
+only documents without an id hold the passage; n_texts is the most word sequences that hold one window of it;
+an empty table gives no rows. Other columns are never
 read.
 """
 
@@ -26,10 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import id_text, slices
+from quarrylens.llm.common import id_text, slices, written
+from quarrylens.llm.common import small as few
 
 WORD = re.compile(r"\w+")
 PRIMES = (2147483647, 2147483629)
@@ -37,8 +49,10 @@ BASES = (1103515245, 1597334677)
 WINDOW = 8
 #: A common passage has so many words at least.
 MIN_WORDS = 13
+#: A passage that documents share with each other has so many words at least.
+REPEAT = 50
 BROADCAST_BYTES = 64 << 20
-SCHEMA = "doc_id long, n_words int, fingerprint long, passages array<struct<item_id:long,start:int,item_start:int,n_words:int>>"
+SCHEMA = "doc_id long, x long, n_words int, fingerprint long, passages array<struct<item_id:long,start:int,item_start:int,n_words:int>>, lows array<long>"
 
 
 class Codes(dict):
@@ -91,6 +105,18 @@ class Prefix:
         return out[0] << 31 | out[1]
 
 
+def lows(p: Prefix, size: int) -> np.ndarray:
+    """For each window of `size` words, the lowest of the mixed hashes of its spans of half that length."""
+    if p.n < size:
+        return np.empty(0, np.int64)
+    out = (p.windows(size // 2).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    most, have = size - size // 2 + 1, 1
+    while have < most:
+        step = min(have, most - have)
+        out, have = np.minimum(out[:-step], out[step:]), have + step
+    return out
+
+
 _inverse: list[np.ndarray] = [np.ones(1, np.int64), np.ones(1, np.int64)]
 
 
@@ -167,9 +193,9 @@ def passages(p: Prefix, items: Items, window: int = WINDOW, least: int = MIN_WOR
     return sorted(out, key=lambda r: (r[0], r[1], r[2]))
 
 
-def fingerprints(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """One row for each document: fingerprint, first copy and passages shared with the items."""
-    spark, rows = docs.sparkSession, id_text(docs, id_col, text_col)
+def fingerprints(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", repeat: int = REPEAT) -> DataFrame:
+    """One row for each document: fingerprint, first copy, passages shared with the items and with other documents."""
+    spark, rows = docs.sparkSession, id_text(docs, id_col, text_col).withColumn("x", F.xxhash64("text"))
     bench = id_text(benchmark.where(F.col(item_col).isNotNull()), item_col, text_col).distinct()
     size = bench.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     small = size <= BROADCAST_BYTES
@@ -178,22 +204,71 @@ def fingerprints(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, items = Codes(), shared.value if shared else None
         for batch in slices(batches):
-            ns, prints, found = [], [], []
+            ns, prints, found, low = [], [], [], []
             for text in batch.column("text").to_pylist():
                 p = Prefix(codes(text, known))
                 ns.append(p.n)
                 prints.append(p.whole())
+                low.append(np.unique(lows(p, repeat)))
                 found.append([dict(zip(("item_id", "start", "item_start", "n_words"), r, strict=True)) for r in passages(p, items, window, least)] if items else [])
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())]))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(ns, pa.int32()), pa.array(prints, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_words", "fingerprint", "passages"])
+            ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
+            cols = [batch.column("doc_id"), batch.column("x"), pa.array(ns, pa.int32()), pa.array(prints, pa.int64()), pa.array(found, kind), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))]
+            yield pa.record_batch(cols, names=["doc_id", "x", "n_words", "fingerprint", "passages", "lows"])
 
-    marked = rows.mapInArrow(run, SCHEMA)
+    marked = written(rows.mapInArrow(run, SCHEMA).withColumn("t", F.xxhash64("fingerprint", "n_words")), "marked")
+    again = _repeated(rows, marked, repeat)
     if not small:
         marked = marked.drop("passages").join(_shuffled(rows, bench, window, least), "doc_id", "left").withColumn("passages", F.coalesce("passages", F.expr("cast(array() as array<struct<item_id:long,start:int,item_start:int,n_words:int>>)")))
-    from pyspark.sql import Window
+    same = Window.partitionBy("t")
+    none = F.expr("cast(array() as array<struct<start:int,n_words:int,first_doc:long,first_start:int,n_texts:long>>)")
+    return marked.withColumn("first_copy", F.min("doc_id").over(same)).join(again, "t", "left").select("doc_id", "n_words", "fingerprint", "first_copy", "passages", F.coalesce("repeated", none).alias("repeated"))
+
+
+def _repeated(rows: DataFrame, marked: DataFrame, size: int) -> DataFrame:
+    """t, repeated: the passages of each word sequence t that another one holds too."""
+    held = Window.partitionBy("h")
+    met = marked.select("t", F.explode("lows").alias("h")).withColumn("lo", F.min("t").over(held)).withColumn("hi", F.max("t").over(held))
+    open_ = met.where("lo < hi").groupBy("t").agg(F.collect_set("h").alias("lows"))
+    # one text for each word sequence, under one id
+    one = marked.groupBy("t").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "x")).alias("one"))
+    open_ = written(open_.join(one, "t").select("t", "lows", "first", "one.doc_id", "one.x"), "open")
+    there = rows.join(few(written(open_.select("x").distinct(), "texts")), "x", "left_semi")
+    size_ = open_.agg(F.sum(8 * F.size("lows") + 40)).first()[0] or 0
+    texts = there.alias("r").join((F.broadcast(open_) if size_ <= BROADCAST_BYTES else open_).alias("o"), (F.col("r.x") == F.col("o.x")) & F.col("r.doc_id").eqNullSafe(F.col("o.doc_id"))).select("t", "first", "text", "lows")
 
-    same = Window.partitionBy("fingerprint", "n_words")
-    return marked.withColumn("first_copy", F.min("doc_id").over(same)).select("doc_id", "n_words", "fingerprint", "first_copy", "passages")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes()
+        for batch in slices(batches):
+            out: list[list] = [[], [], [], []]
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                p = Prefix(codes(text, known))
+                low, w = lows(p, size), p.windows(size)
+                at = np.flatnonzero(np.isin(low, batch.column("lows")[i].values.to_numpy()))
+                # windows in a row under the same lowest hash
+                for own in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(low[at]) != 0)) + 1):
+                    for col, x in zip(out, (i, low[own[0]], own[0], w[own]), strict=True):
+                        col.append(x)
+            row, ends = pa.array(out[0], pa.int64()), np.cumsum([0, *map(len, out[3])]).astype(np.int32)
+            ws = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *out[3]])))
+            yield pa.record_batch([batch.column("t").take(row), batch.column("first").take(row), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), ws], names=["t", "first", "h", "start", "ws"])
+
+    # equal windows have the same lowest hash, so all that follows up to the runs is within its partition
+    windows = texts.mapInArrow(run, "t long, first long, h long, start int, ws array<long>").repartition("h")
+    windows = windows.select("t", "first", "h", F.posexplode("ws").alias("k", "w"), "start").withColumn("at", F.col("start") + F.col("k"))
+    ranked = Window.partitionBy("h", "w").orderBy(F.col("first").isNull(), "first", "t", "at")
+    hub = [F.first(c).over(ranked).alias(n) for c, n in (("t", "hub"), ("first", "first_doc"), ("at", "first_at"))]
+    # of rows that repeat an id and a text each brings the same windows
+    placed = windows.select("t", "h", "w", "at", *hub, F.row_number().over(ranked).alias("nth"), F.lag("t").over(ranked).alias("t0"), F.lag("at").over(ranked).alias("at0"))
+    placed = placed.where("nth = 1 or t0 <> t or at0 <> at").withColumn("new", F.when(F.col("t0") == F.col("t"), 0).otherwise(1))
+    placed = placed.withColumn("n_texts", F.sum("new").over(Window.partitionBy("h", "w"))).where("n_texts > 1").withColumn("line", F.col("first_at") - F.col("at"))
+    nth = F.row_number().over(Window.partitionBy("h", "t", "hub", "line").orderBy("at"))
+    parts = placed.withColumn("run", F.col("at") - nth).groupBy("h", "t", "hub", "first_doc", "line", "run").agg(F.min("at").alias("at"), F.count("*").alias("k"), F.max("n_texts").alias("n_texts"))
+    line = Window.partitionBy("t", "hub", "line").orderBy("at")
+    # windows of one line are all different places: those before a part tell whether it follows without a gap
+    runs = parts.withColumn("run", F.col("at") - (F.sum("k").over(line) - F.col("k"))).groupBy("t", "hub", "first_doc", "line", "run")
+    runs = runs.agg(F.min("at").alias("start"), (F.sum("k") + size - 1).cast("int").alias("n_words"), F.max("n_texts").alias("n_texts")).withColumn("first_start", F.col("start") + F.col("line"))
+    return runs.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("start", "n_words", "first_doc", "first_start", "n_texts"))).alias("repeated"))
 
 
 def _shuffled(rows: DataFrame, bench: DataFrame, window: int, least: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators and pipeline on small tables with awkward rows, and against SQL."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +149,39 @@ def test_fingerprint_rows(spark, monkeypatch):
     assert fingerprint.fingerprints(d.limit(0), bench.limit(0)).count() == 0
 
 
+def brute_repeats(texts, size):
+    """Words of each text inside a window that another word sequence holds too."""
+    words = {k: tuple(fingerprint.WORD.findall(t.lower())) for k, t in texts.items()}
+    held = {}
+    for w in set(words.values()):
+        for i in range(len(w) - size + 1):
+            held.setdefault(w[i : i + size], set()).add(w)
+    return {k: {x for i in range(len(w) - size + 1) if len(held[w[i : i + size]]) > 1 for x in range(i, i + size)} for k, w in words.items()}, words
+
+
+def test_passages_that_documents_share(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared, other, short = text(70), text(55), text(49)
+    texts = {i: f"{text(rng.randrange(200))} {shared} {text(rng.randrange(300))}" for i in range(1, 30)}
+    # the smallest id holds less of the passage than the others share with each other
+    texts |= {0: text(40) + " " + " ".join(shared.split()[:52]) + " " + text(30), 40: other, 41: f"{text(9)} {other} {other} {text(9)}", 42: short + " " + text(60), 43: text(60) + " " + short, 44: text(200)}
+    texts |= {45: texts[44], 46: texts[41].upper() + "!", 47: f"{shared} {other}"}
+    rows = [*texts.items(), (41, texts[41]), (None, "x " + texts[44])]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).collect()
+    assert len(got) == len(rows)
+    want, words = brute_repeats(texts | {None: rows[-1][1]}, fingerprint.REPEAT)
+    for r in got:
+        assert {x for p in r.repeated for x in range(p.start, p.start + p.n_words)} == want[r.doc_id]
+        for p in r.repeated:
+            assert words[p.first_doc][p.first_start : p.first_start + p.n_words] == words[r.doc_id][p.start : p.start + p.n_words]
+    by = {r.doc_id: r.repeated for r in got}
+    assert max(p.n_texts for p in by[7]) == 31
+    assert {len(by[i]) for i in range(1, 30)} == {2}
+    assert by[42] == by[43] == []
+    assert [tuple(p) for p in by[45]] == [(0, 200, 44, 0, 2)]
+
+
 def test_licence_rows(spark):
     got = licenses.scan(docs(spark)).collect()
     assert [(r.doc_id, r.template, r.char_start, r.char_end) for r in got] == [(8, "MIT-line", 0, 30)]
