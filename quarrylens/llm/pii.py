@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Candidates are runs of characters that could be identifiers (an at sign, or `MIN_DIGITS` digits or more,
-and phone and card numbers that contain blanks). Validators mark some as seed entities of a kind. Every
+dotted quads of any digits, `SECRET_CHARS` characters or more after a secret word whatever their digits, and
+phone and card numbers that contain blanks). Validators mark some as seed entities of a kind. Every
 occurrence has patterns: the shape of the identifier, and the three lexical tokens before it together
 with its class. Spark scores the graph of patterns and instances in rounds: a pattern's score for a kind
 is the mean reliability of its distinct instances, a pattern with enough reliable instances and score is
@@ -44,6 +45,9 @@ BEFORE = re.compile(r"\w+|[^\w\s]")
 EMAIL = re.compile(r"[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+")
 PHONE = re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}")
 IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
+#: So long a value could be a secret, if one of the SECRET_WORDS is before it; HINT finds each of them.
+SECRET_CHARS = 16
+HINT = "(?i)token|key|secret|passw|pwd|bearer|auth"
 SECRET_WORDS = {"token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "bearer", "auth"}
 
 
@@ -80,6 +84,18 @@ def shape(value: str) -> str:
     return re.sub(r"a(?:[9a_]*a)?", "a", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value)))[:60]
 
 
+def before(text: str, start: int) -> list[str]:
+    """The three lexical tokens before a place."""
+    return [t.lower() for t in BEFORE.findall(text[max(0, start - 60) : start])[-3:]]
+
+
+def likely(text: str, start: int, value: str) -> bool:
+    """Whether a run is a candidate."""
+    if "@" in value or sum(map(str.isdigit, value)) >= MIN_DIGITS or IP.fullmatch(value):
+        return True
+    return len(value) >= SECRET_CHARS and bool(SECRET_WORDS & set(before(text, start)))
+
+
 def candidates(text: str) -> list[tuple[int, str, str | None, list[str]]]:
     """(start, value, seed kind, patterns) of every identifier-like run, in order."""
     out, spans = [], [(m.start(), m.group()) for m in MULTI.finditer(text)]
@@ -87,7 +103,7 @@ def candidates(text: str) -> list[tuple[int, str, str | None, list[str]]]:
     at = 0
     for m in RUN.finditer(text):
         value = m.group()
-        if "@" not in value and sum(map(str.isdigit, value)) < MIN_DIGITS:
+        if "@" not in value and len(value) < MIN_DIGITS:
             continue
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
@@ -95,10 +111,10 @@ def candidates(text: str) -> list[tuple[int, str, str | None, list[str]]]:
             continue
         cut = value.lstrip(".+-@")
         start, value = m.start() + len(value) - len(cut), cut.rstrip(".+-@")
-        if value and ("@" in value or sum(map(str.isdigit, value)) >= MIN_DIGITS):
+        if value and likely(text, start, value):
             spans.append((start, value))
     for start, value in sorted(spans):
-        left = [t.lower() for t in BEFORE.findall(text[max(0, start - 60) : start])[-3:]]
+        left = before(text, start)
         form = shape(value)
         kind = "n" if not any(c.isalpha() for c in value) else "@" if "@" in value else "a"
         out.append((start, value, seed_kind(value, left), [f"s|{form}", f"l|{' '.join(left)}|{kind}"] if len(left) == 3 else [f"s|{form}"]))
@@ -106,8 +122,8 @@ def candidates(text: str) -> list[tuple[int, str, str | None, list[str]]]:
 
 
 def _found(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, list]]:
-    """(row, candidates) of the rows that hold a digit or an at sign: RE2 looks first, over all bytes."""
-    some = pc.match_substring_regex(batch.column(text), "[0-9@]|[^\\x00-\\x7F]\\p{Nd}").to_pylist()
+    """(row, candidates) of the rows that hold a digit, an at sign or a secret word: RE2 looks first, over all bytes."""
+    some = pc.match_substring_regex(batch.column(text), f"[0-9@]|[^\\x00-\\x7F]\\p{{Nd}}|{HINT}").to_pylist()
     for i, yes in enumerate(some):
         if yes:
             got = candidates(batch.column(text)[i].as_py())
