@@ -120,6 +120,17 @@ def test_bands_lose_few_pairs():
     assert met / total >= 0.95
 
 
+def test_short_words_have_keys():
+    rng, h = random.Random(6), jaccard.Hashes()
+    for n in (60, 90, 180, 400, 1500):
+        for long in (0, 3):
+            words = [str(rng.randrange(100, 1000)) for _ in range(n)] + [f"longer{rng.randrange(10**6)}" for _ in range(long)]
+            near = [w if rng.random() > 0.04 else str(rng.randrange(100, 1000)) for w in words]
+            x, y = (set(jaccard.keys(jaccard.grams(" ".join(t), 2, h), 0.65)[0].tolist()) for t in (words, near))
+            assert len(x) >= 2 * jaccard.SHARED
+            assert len(x & y) >= jaccard.SHARED
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     net = language.train([b"hello there", b"guten tag"], ["en", "de"], hidden=3, steps=1)
