@@ -219,7 +219,7 @@ def fingerprints(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     marked = written(rows.mapInArrow(run, SCHEMA).withColumn("t", F.xxhash64("fingerprint", "n_words")), "marked")
     again = _repeated(rows, marked, repeat)
     if not small:
-        marked = marked.drop("passages").join(_shuffled(rows, bench, window, least), "doc_id", "left").withColumn("passages", F.coalesce("passages", F.expr("cast(array() as array<struct<item_id:long,start:int,item_start:int,n_words:int>>)")))
+        marked = marked.drop("passages").join(_shuffled(rows.select(F.col("x").alias("doc_id"), "text").dropDuplicates(["doc_id"]), bench, window, least).withColumnRenamed("doc_id", "x"), "x", "left").withColumn("passages", F.coalesce("passages", F.expr("cast(array() as array<struct<item_id:long,start:int,item_start:int,n_words:int>>)")))
     same = Window.partitionBy("t")
     none = F.expr("cast(array() as array<struct<start:int,n_words:int,first_doc:long,first_start:int,n_texts:long>>)")
     return marked.withColumn("first_copy", F.min("doc_id").over(same)).join(again, "t", "left").select("doc_id", "n_words", "fingerprint", "first_copy", "passages", F.coalesce("repeated", none).alias("repeated"))
@@ -272,7 +272,7 @@ def _repeated(rows: DataFrame, marked: DataFrame, size: int) -> DataFrame:
 
 
 def _shuffled(rows: DataFrame, bench: DataFrame, window: int, least: int) -> DataFrame:
-    """The passages by a join on window hashes, for items that are too many to broadcast."""
+    """The passages by a join on window hashes, for items that are too many to broadcast; doc_id is a hash of the text, each once."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Codes()

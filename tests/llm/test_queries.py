@@ -149,6 +149,14 @@ def test_fingerprint_rows(spark, monkeypatch):
     assert fingerprint.fingerprints(d.limit(0), bench.limit(0)).count() == 0
 
 
+def test_shuffled_passages_of_all_rows(spark, monkeypatch):
+    rows = [(None, EN), (None, "other words " + EN), (1, EN + " more"), (1, "no passage here"), (1, "no passage here")]
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(70, EN), (70, "x " + EN)], "item_id long, text string")
+    want = sorted(map(str, fingerprint.fingerprints(d, bench).collect()))
+    monkeypatch.setattr(fingerprint, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, fingerprint.fingerprints(d, bench).collect())) == want
+
+
 def brute_repeats(texts, size):
     """Words of each text inside a window that another word sequence holds too."""
     words = {k: tuple(fingerprint.WORD.findall(t.lower())) for k, t in texts.items()}
