@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import unicodedata
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows of text are worked on in slices of about so many bytes, however many rows Arrow hands over.
 SLICE_BYTES = 4 << 20
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session names none."""
+    """The folder that all executors share; set here only where a local session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -34,14 +38,46 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage through a table in the shared folder: it outlives any executor."""
-    spark = df.sparkSession
+#: Folders that results still read; `swept` removes them once those results are written elsewhere.
+_results: list[str] = []
+
+
+def kept_path(spark: SparkSession, label: str) -> str:
     path = scratch_path(spark, label)
+    _results.append(path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cuts lineage through a table in the shared folder: it outlives any executor. It stays until `swept`."""
+    spark, path = df.sparkSession, kept_path(df.sparkSession, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Removes what `written` left; for callers who have written their results."""
+    while _results:
+        dropped(spark, _results.pop())
+
+
+class Scratch:
+    """Tables that one operator writes and removes before it returns."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            dropped(self.spark, self.paths.pop())
+
+
 #: Up to so many ids (48 MB as longs) are broadcast; more meet by a shuffle.
 BROADCAST_IDS = 6_000_000
 
@@ -58,10 +94,6 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def local_form(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds at most about `most` bytes of text, or one row."""
     for batch in batches:
@@ -78,14 +110,30 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+MARK = np.zeros(0x110000, bool)
+MARK[[c for c in range(0x300, 0x1F000) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me")]] = True
+_edges = np.flatnonzero(MARK[1:] != MARK[:-1]).tolist()
+_marks = "".join(f"{chr(a + 1)}-{chr(b)}" for a, b in zip(_edges[::2], _edges[1::2], strict=True))
+WORD, PLAIN_WORD, ASCII_WORD = re.compile(rf"[\w{_marks}]+"), re.compile(r"\w+"), re.compile(r"[a-z0-9_]+")
+
 
+def lower_words(text: str) -> list[str]:
+    """Words in lower case, combining marks among them: a vowel sign doesn't end a word."""
+    low = text.lower()
+    if low.isascii():
+        return ASCII_WORD.findall(low)
+    marked = MARK[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
+    return (WORD if marked else PLAIN_WORD).findall(low)
 
-def arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(schema)
+def one_text(rows: DataFrame) -> DataFrame:
+    """doc_id, text with one row for each id that isn't null: of several texts the one that sorts first."""
+    rows = rows.where("doc_id is not null")
+    again = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return rows
+    again = small(written(again, "repeated"))
+    return rows.join(again, "doc_id", "left_anti").unionByName(rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
