@@ -12,7 +12,7 @@ from quarrylens.llm.common import scratch_path, table, written
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.pairs(table(spark, sf_dir, "embeddings"))
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylens.llm import fingerprint, jaccard, language, licenses, neardup, packing, pieces, pii, quality, queries, warc
+import quarrylens.llm.components
+from quarrylens.llm import common, fingerprint, jaccard, language, licenses, neardup, packing, pieces, pii, quality, queries, warc
 from quarrylens.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -24,14 +26,39 @@ def docs(spark):
 
 
 def test_groups(spark):
-    got = {r.doc_id: r.group_id for r in jaccard.groups(docs(spark)).collect()}
-    assert got == {1: 1, 2: 1, 3: 1}
+    got = {r.doc_id: (r.group_id, r.n_linked) for r in jaccard.groups(docs(spark)).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2)}
     left = jaccard.one_of_each(docs(spark))
     assert left.columns == docs(spark).columns
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10]
     assert jaccard.groups(docs(spark).limit(0)).count() == 0
 
 
+def test_copies_of_any_script_are_groups(spark):
+    rng, rows = random.Random(2), []
+    kinds = ["क ख ग कि खी गु हिन्दी भाषा में".split(), "กิ ขี ประเทศ ไทย ที่ นี้".split(), [str(i) for i in range(999)], "a of to in it is be".split(), ["中文", "汉字", "你好"]]
+    for k, words in enumerate(kinds):
+        for n in (1, 2, 12, 13, 25, 60, 71, 97, 300, 1500):
+            text = " ".join(rng.choice(words) for _ in range(n)) + f" {k}x{n}"
+            rows += [(len(rows), text), (len(rows) + 1, text.upper() + " !")]
+    got = {r.doc_id: r.group_id for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == got[i + 1] for i in range(0, len(rows), 2))
+
+
+def test_groups_without_broadcast(spark, monkeypatch):
+    d = spark.read.parquet(f"{DIR}/documents.parquet")
+    want = sorted(map(str, jaccard.groups(d).collect()))
+    monkeypatch.setattr(common, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(quarrylens.llm.components, "ONE_TASK", -1)
+    assert sorted(map(str, jaccard.groups(d).collect())) == want
+
+
+def test_repeated_ids_with_maps(spark):
+    rows = [(1, "b one", {"k": 1}), (1, "a one", {"k": 2}), (1, "a one", {"k": 1}), (None, None, None), (None, None, None)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>"))
+    assert sorted(map(str, got.collect())) == sorted(["Row(doc_id=1, text='a one', m={'k': 1})"] + 2 * ["Row(doc_id=None, text=None, m=None)"])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 9), (9, 7), (30, 20), (20, 10), (10, 1)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -39,6 +66,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    rng = random.Random(1)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(250)], "a long, b long")
+    want = sorted(map(str, components(edges).collect()))
+    monkeypatch.setattr(quarrylens.llm.components, "ONE_TASK", -1)
+    assert sorted(map(str, components(edges).collect())) == want
+
+
 def test_packing_rows(spark):
     d = docs(spark)
     got = packing.pack(d, capacity=50, group_items=4).collect()
@@ -145,7 +180,7 @@ def test_fingerprint_rows(spark, monkeypatch):
     assert by[10].passages == []
     monkeypatch.setattr(fingerprint, "BROADCAST_BYTES", -1)
     again = {r.doc_id: r for r in fingerprint.fingerprints(d, bench).collect()}
-    assert {k: v.passages for k, v in again.items() if k} == {k: v.passages for k, v in by.items() if k}
+    assert {k: v.passages for k, v in again.items()} == {k: v.passages for k, v in by.items()}
     assert fingerprint.fingerprints(d.limit(0), bench.limit(0)).count() == 0
 
 
@@ -210,12 +245,39 @@ def test_piece_rows(spark):
     assert pieces.encoded(d.limit(0)).count() == 0
 
 
-def test_vector_pairs(spark):
+def test_vector_rows(spark):
     a, b = [1.0, 0.0, 0.5] * 4, [1.0, 0.01, 0.5] * 4
-    rows = [(1, a), (2, b), (3, a), (3, a), (None, a), (4, None), (5, []), (6, [0.0] * 12), (7, [float("nan")] * 12), (8, [1.0]), (9, [-x for x in a])]
-    d = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, k long, t string")
-    assert sorted((r.a, r.b) for r in neardup.pairs(d).collect()) == [(1, 2), (1, 3), (2, 3)]
-    assert neardup.pairs(d.limit(0)).count() == 0
+    rows = [(1, a), (2, b), (3, a), (3, a), (None, a), (4, None), (5, []), (6, [0.0] * 12), (7, [float("nan")] * 12), (8, [1.0]), (9, [-x for x in a]), (10, [2.0]), (11, [-3.0]), (12, b), (12, [5.0] * 3)]
+    d = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, class_id long, t string")
+    got = sorted((tuple(r) for r in neardup.near_duplicates(d).collect()), key=str)
+    alone = [(i, i, 0) for i in (4, 5, 6, 7, 9, 11)]
+    assert got == sorted([(1, 1, 3), (2, 1, 3), (3, 1, 3), (12, 1, 3), (8, 8, 1), (10, 8, 1), (None, None, 0), *alone], key=str)
+    assert neardup.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_vectors_with_pairs_equal_sql(spark, monkeypatch, tmp_path):
+    """The given vectors hold no pair, so here each third one gets near ones, some of them equal, and one gets many."""
+    rng = np.random.default_rng(2)
+    given = spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(given["embedding"].to_numpy())
+    rows = list(zip(given["vec_id"].tolist(), x.tolist(), strict=True))
+    for i in (*range(0, len(x), 3), *[0] * 150):
+        scale = np.linalg.norm(x[i]) / np.sqrt(x.shape[1])
+        rows.append((10_000 + len(rows), (x[i] + rng.standard_normal(x.shape[1]) * scale * rng.choice([0.0, 0.1, 0.2, 0.25])).astype(np.float32).tolist()))
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    d.write.parquet(str(tmp_path / "v"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/v/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(neardup.ORACLE).fetchall()}
+    links = sum(n for _, n in want.values())
+    monkeypatch.setattr(neardup, "UNIT", 50)  # cells in blocks
+    monkeypatch.setattr(neardup, "LOAD", 16)
+    got = {r.vec_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(d).collect()}
+    assert links > 5000
+    assert got.keys() == want.keys()
+    assert links >= sum(n for _, n in got.values()) >= 0.98 * links
+    assert all(got[k][1] <= want[k][1] for k in want)
+    assert sum(got[k][0] == want[k][0] for k in want) >= 0.98 * len(want)
 
 
 def test_warc_rows(spark, tmp_path):
