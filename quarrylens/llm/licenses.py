@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarrylens.llm.common import id_text, slices
+from quarrylens.llm.licence_texts import TEMPLATES
 
 MIN_MATCH = 3
 MAX_GAP = 6
@@ -33,25 +34,6 @@ MIN_TOKENS = 16
 TOKEN = re.compile(r"\w+")
 SCHEMA = "doc_id long, template string, token_start int, token_end int, covered int, coverage double, char_start int, char_end int"
 
-#: Notices and opening passages as they stand in public licence texts.
-TEMPLATES: dict[str, str] = {
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "MIT-line": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "All-rights-reserved": "All rights reserved.",
-}
-
-
 class Automaton:
     """Suffix automaton of several token sequences; `ends` are (template, end) of a state's strings."""
 
@@ -149,8 +131,10 @@ class Scanner:
         found = [c for k, hits in by.items() for c in self._chains(k, hits)]
         found.sort(key=lambda c: (-c[3], -c[3] / self.sizes[c[0]], c[0], c[1]))
         out: list[tuple[int, int, int, int]] = []
+        taken = bytearray(len(tokens))
         for c in found:
-            if all(c[2] <= o[1] or c[1] >= o[2] for o in out):
+            if taken.find(1, c[1], c[2]) < 0:
+                taken[c[1] : c[2]] = b"\1" * (c[2] - c[1])
                 out.append(c)
         return [(self.names[k], a, b, n) for k, a, b, n in sorted(out, key=lambda c: c[1])]
 
