@@ -4,13 +4,16 @@ A text's UTF-8 bytes are read in frames of `FRAME` bytes, each from both ends by
 unit of `HIDDEN` cells (gates and candidate squashed by softsign, for speed); every byte gets a probability for each language and a document's are the mean
 over its bytes. Frames make the cost proportional to the bytes (no document waits for a long one) and
 are also what the network is trained on: backpropagation through time in numpy, over a bounded sample
-of labelled documents (`SAMPLE_DOCS` for each language, by the hash of the id, with at most
-`SAMPLE_BYTES` from each). Inference covers whole texts.
+of labelled documents (`SAMPLE_DOCS` different ones for each language, by the hash of id and text). Each
+step of the descent draws documents and, anywhere in the whole text of each, a frame; the draws are made
+where the texts are, so the driver gets the frames of `STEPS` steps however long the texts. Inference
+covers whole texts.
 
 Defined results: a null or empty text has no language (null), confidence 0 and isn't kept; documents
-with a null language aren't trained on but are labelled; repeated rows get equal results; ties go to the
-language that sorts first; with no labelled document at all nothing is decided (null, 0); an empty
-table gives no rows.
+with a null language, or without text, aren't trained on but are labelled; null ids are trained on and labelled
+like others; repeated rows count once in the sample and get equal results; ties go to the language that sorts
+first; with no labelled document at all nothing is decided (null, 0); more than `MAX_LANGUAGES`
+languages are an error, for then the column doesn't name languages; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from quarrylens.llm.common import id_text, slices
 FRAME = 64
 HIDDEN = 6
 SAMPLE_DOCS = 150
-SAMPLE_BYTES = 4096
+MAX_LANGUAGES = 256
 STEPS = 300
 BATCH = 128
 #: Documents whose best language has a lower mean probability than this aren't kept.
@@ -112,7 +115,10 @@ def frames(texts: list[bytes], size: int = FRAME) -> tuple[np.ndarray, np.ndarra
 
 
 def train(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 7, rate: float = 0.02) -> Network:
-    """Adam on mean cross-entropy of every byte's label, unrolled over whole frames."""
+    """Adam on mean cross-entropy of every byte's label, unrolled over whole frames.
+
+    Every text is a run of frames; a step draws as many of them from each language.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     k, h = len(names), hidden
@@ -166,17 +172,40 @@ def gradients(net: Network, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> l
     return [*g_table, *g_rec, g_out.astype(np.float32), g_bias]
 
 
+def drawn(text: bytes, seed: int, draws: int) -> list[bytes]:
+    """Frames from anywhere in a text: all of them if it has no more than `draws`, else so many at random."""
+    n = -(-len(text) // FRAME)
+    at = range(n) if n <= draws else np.random.default_rng(seed & 0xFFFFFFFF).integers(0, n, draws).tolist()
+    return [text[i * FRAME : (i + 1) * FRAME] for i in at]
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> Network:
-    """Trains on at most `sample_docs` documents of each language, by the hash of their id."""
-    known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("doc_id")).where("lang is not null").withColumn("o", F.xxhash64("doc_id"))
-    # over ids alone, with a group limit before the shuffle; texts are then read for the chosen few
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
-    rows = known.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("doc_id", "lang").collect()
-    want = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "doc_id long, lang string")
-    got = id_text(docs, id_col, text_col).join(F.broadcast(want), "doc_id").select("lang", "doc_id", F.expr(f"substring(encode(text, 'UTF-8'), 1, {SAMPLE_BYTES})").alias("b")).collect()
-    got = sorted((r["lang"], r["doc_id"] or 0, bytes(r["b"])) for r in got if len(r["b"]))
-    if not got:
+    """Trains on at most `sample_docs` documents of each language, by the hash of their id and text."""
+    own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("o"))
+    own = own.where("lang is not null and length(text) > 0")
+    # hashes alone are shuffled; texts are then read for the chosen few
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("o"))
+    rows = own.select("lang", "o").distinct().withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "o").limit(MAX_LANGUAGES * sample_docs + 1).collect()
+    many: dict[str, int] = {}
+    for r in rows:
+        many[r["lang"]] = many.get(r["lang"], 0) + 1
+    if len(many) > MAX_LANGUAGES or len(rows) > MAX_LANGUAGES * sample_docs:
+        raise ValueError(f"{lang_col} holds more than {MAX_LANGUAGES} languages")
+    if not rows:
         return Network([], [], [], np.zeros((0, 0)), np.zeros(0))
+    # as many frames from a text as the descent will draw from it, whatever the number of texts
+    steps = how.get("steps", STEPS)
+    draws = {lang: max(1, steps * (BATCH // len(many) + 1) // n) for lang, n in many.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [drawn(t.encode("utf-8", "surrogatepass"), o, draws[lang]) for lang, o, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "o", "text")), strict=True)]
+            yield pa.record_batch([batch.column("lang"), batch.column("o"), pa.array(got, pa.list_(pa.binary()))], names=["lang", "o", "frames"])
+
+    # at most MAX_LANGUAGES * sample_docs rows
+    want = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in rows], "lang string, o long"))
+    got = own.join(want, ["lang", "o"]).mapInArrow(run, "lang string, o long, frames array<binary>").dropDuplicates(["lang", "o"]).collect()
+    got = sorted((r["lang"], r["o"], bytes(f)) for r in got for f in r["frames"])
     return train([r[2] for r in got], [r[0] for r in got], **how)
 
 
