@@ -197,7 +197,8 @@ def fingerprints(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     """One row for each document: fingerprint, first copy, passages shared with the items and with other documents."""
     spark, rows = docs.sparkSession, id_text(docs, id_col, text_col).withColumn("x", F.xxhash64("text"))
     bench = id_text(benchmark.where(F.col(item_col).isNotNull()), item_col, text_col).distinct()
-    size = bench.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    # an item takes up about 48 bytes for each word: two prefix arrays, the sorted window hashes and their places
+    size = bench.agg(F.sum(F.octet_length("text") + 48 * F.regexp_count("text", F.lit(r"\w+")) + 8)).first()[0] or 0
     small = size <= BROADCAST_BYTES
     shared = spark.sparkContext.broadcast(Items([tuple(r) for r in bench.orderBy("doc_id", "text").collect()], window)) if small else None
 
