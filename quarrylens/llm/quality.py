@@ -8,9 +8,11 @@ broadcast, and every document gets its exact cosine to each of them, block by bl
 nearest vote with their similarity as weight.
 
 Defined results: a null or empty text has no features, scores 0 and isn't kept; null labels are no
-labels; a document labelled more than once counts with the mean of its labels, rounded; ties between
-neighbours go to the earlier sample row; null ids are scored like others; with no labels at all every
-document that has features scores 0.5 and is kept; an empty table gives no rows.
+labels; a document labelled more than once counts with the mean of its labels, rounded (a half to even); a labelled id with
+several texts counts with the one whose features sort first; similarities are rounded to six places, and
+of equal ones the earlier sample row is nearer; null ids are scored like others, and never labelled;
+with no labels at all every document that has features scores 0.5 and is kept; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -94,8 +96,11 @@ class Model:
             return out
         k = min(neighbours, len(self.vectors))
         for at in range(0, len(latent), BLOCK):
-            sims = latent[at : at + BLOCK] @ self.vectors.T
+            sims = np.round(latent[at : at + BLOCK] @ self.vectors.T, 6)
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(sims), 1))
+            least = np.take_along_axis(sims, near, 1).min(1)
+            for i in np.flatnonzero((sims >= least[:, None]).sum(1) > k):  # ties at the edge
+                near[i] = np.argsort(-sims[i], kind="stable")[:k]
             w = np.maximum(np.take_along_axis(sims, near, 1), 0) ** 4
             out[at : at + BLOCK] = ((w * self.votes[near]).sum(1) + 1e-9) / (w.sum(1) + 2e-9)
         return out
@@ -131,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, axes:
     # at most max_labels rows of 24 bytes, so this side can always be broadcast
     flagged = rows.join(F.broadcast(sample), "doc_id", "left").select("text", "y", "sample_order")
     got = _gather(flagged)
-    every = got.groupBy("feature", "sample_order").agg(F.sum("n").alias("n"), F.first("y").alias("y"), F.first("f").alias("f"), F.first("v").alias("v")).toPandas()
+    every = got.groupBy("feature", "sample_order").agg(F.sum("n").alias("n"), F.min(F.struct("f", "v", "y")).alias("one")).select("feature", "sample_order", "n", "one.y", "one.f", "one.v").toPandas()
     counts = np.zeros(WIDTH + SHAPES + 1)
     freq = every[every["feature"].notna()]
     counts[freq["feature"].to_numpy(np.int64)] = freq["n"].to_numpy(float)
