@@ -1,21 +1,22 @@
 """Personal data by bootstrapped contextual extraction.
 
 Candidates are runs of characters that could be identifiers (an at sign, or `MIN_DIGITS` digits or more,
-dotted quads of any digits, `SECRET_CHARS` characters or more after a secret word whatever their digits, and
-phone and card numbers that contain blanks). Validators mark some as seed entities of a kind. Every
+dotted quads of any digits, `SECRET_CHARS` characters or more after a secret word whatever their digits, fewer
+if they mix letters and digits behind a colon or an equals sign, and phone and card numbers that contain blanks). Validators mark some as seed entities of a kind. Every
 occurrence has patterns: the shape of the identifier, and the three lexical tokens before it together
 with its class. Spark scores the graph of patterns and instances in rounds: a pattern's score for a kind
 is the mean reliability of its distinct instances, a pattern with enough reliable instances and score is
 accepted, and an instance that an accepted pattern matches becomes as reliable as the pattern, which can
-lift further patterns, until a round accepts nothing new. The accepted patterns then find identifiers
-that no validator knows.
+lift further patterns, until a round accepts nothing new. A pattern keeps the kind and score that it was
+accepted with, so the accepted ones only grow and the rounds end. They then find identifiers that no
+validator knows; what a validator rules out (a card number that fails its check digit) no pattern brings back.
 
 The graph grows with the identifiers in the corpus, not with its text. Accepted patterns are broadcast
 while they take up at most `BROADCAST_BYTES`; beyond that, occurrences meet them by a shuffled join.
 
 Defined results: a null or empty text has no findings and stays as it is; null ids are carried along;
 repeated rows have findings of their own, and an instance counts once in a score however often it is
-copied; of kinds with equal scores the one that sorts first wins; an empty table gives no rows. Other columns
+copied; of kinds with equal scores the one that sorts last wins; an empty table gives no rows. Other columns
 are never read, and pass through `redacted` unchanged, except that a column `n_chars` is brought up to date.
 """
 
@@ -29,14 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import id_text, slices, written
+from quarrylens.llm.common import Scratch, id_text, slices, written
 
 MIN_DIGITS = 6
 #: A shape is accepted at three times the share of random numbers that pass a check digit; words before
 #: an identifier must be much surer.
 MIN_SCORE = {"s": 0.3, "l": 0.8}
 MIN_SUPPORT = {"s": 3, "l": 5}
-ROUNDS = 6
 BROADCAST_BYTES = 32 << 20
 
 MULTI = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{4}(?:[ -]\d{4}){3}(?!\w)")
@@ -45,8 +45,10 @@ BEFORE = re.compile(r"\w+|[^\w\s]")
 EMAIL = re.compile(r"[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+")
 PHONE = re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}")
 IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
+SECRET = re.compile(r"[A-Za-z0-9+_.-]+")
 #: So long a value could be a secret, if one of the SECRET_WORDS is before it; HINT finds each of them.
 SECRET_CHARS = 16
+SHORT_SECRET = 8
 HINT = "(?i)token|key|secret|passw|pwd|bearer|auth"
 SECRET_WORDS = {"token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "bearer", "auth"}
 
@@ -70,30 +72,49 @@ def seed_kind(value: str, left: list[str]) -> str | None:
     digits = value.replace(" ", "").replace("-", "")
     if digits.isascii() and digits.isdigit() and 13 <= len(digits) <= 19 and luhn(digits):
         return "card"
-    if len(value) >= 16 and value.isalnum() and SECRET_WORDS & set(left) and "=" in left + [":"]:
-        return "secret"
+    if SECRET_WORDS & set(left) and (len(value) >= SECRET_CHARS or mixed(value) and {"=", ":"} & set(left)) and not ("@" in value):
+        return "secret" if SECRET.fullmatch(value) and {"=", ":"} & set(left) else None
     return None
 
 
+def mixed(value: str) -> bool:
+    """Whether a value of at least `SHORT_SECRET` characters holds letters and digits."""
+    return len(value) >= SHORT_SECRET and any(map(str.isdigit, value)) and any(map(str.isalpha, value))
+
+
+def refuted(value: str) -> str | None:
+    """The kind that a validator rules out, whatever the patterns say: a card number whose check digit fails."""
+    digits = value.replace(" ", "").replace("-", "")
+    return "card" if digits.isascii() and digits.isdigit() and 13 <= len(digits) <= 19 and not luhn(digits) else None
+
+
 def shape(value: str) -> str:
     """Digits as 9 with the length where there is nothing else; long hexadecimal runs as h with theirs."""
     if value.isdigit():
         return f"9x{len(value)}"
     if re.fullmatch(r"[0-9a-f]{16,}", value):
         return f"hx{len(value)}"
-    return re.sub(r"a(?:[9a_]*a)?", "a", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value)))[:60]
+    return re.sub(r"a(?:[9a_]*a)?", "a", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value)))
 
 
 def before(text: str, start: int) -> list[str]:
-    """The three lexical tokens before a place."""
-    return [t.lower() for t in BEFORE.findall(text[max(0, start - 60) : start])[-3:]]
+    """The three lexical tokens before a place, whole ones however long."""
+    reach = 60
+    while True:
+        found = BEFORE.findall(text[max(0, start - reach) : start])
+        if reach >= start or len(found) > 3:  # the first one found may be cut
+            return [t.lower() for t in found[-3:]]
+        reach *= 4
 
 
 def likely(text: str, start: int, value: str) -> bool:
     """Whether a run is a candidate."""
     if "@" in value or sum(map(str.isdigit, value)) >= MIN_DIGITS or IP.fullmatch(value):
         return True
-    return len(value) >= SECRET_CHARS and bool(SECRET_WORDS & set(before(text, start)))
+    if len(value) < SHORT_SECRET or len(value) < SECRET_CHARS and not mixed(value):
+        return False
+    left = set(before(text, start))
+    return bool(SECRET_WORDS & left) and (len(value) >= SECRET_CHARS or bool({"=", ":"} & left))
 
 
 def candidates(text: str) -> list[tuple[int, str, str | None, list[str]]]:
@@ -134,39 +155,40 @@ def _found(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, list]]:
 def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for i, got in _found(batch, "text"):
                 d = batch.column("doc_id")[i].as_py()
                 for start, value, kind, patterns in got:
-                    for col, x in zip(cols, (d, start, value, kind, patterns), strict=True):
+                    for col, x in zip(cols, (d, start, value, kind, refuted(value), patterns), strict=True):
                         col.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "value", "seed", "patterns"])
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "value", "seed", "never", "patterns"])
 
-    return docs.mapInArrow(run, "doc_id long, start int, value string, seed string, patterns array<string>")
+    return docs.mapInArrow(run, "doc_id long, start int, value string, seed string, never string, patterns array<string>")
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(found: DataFrame) -> DataFrame:
     """pattern, kind, score of the accepted patterns, from the graph of patterns and instances."""
-    graph = written(found.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
-    sure = graph.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("r")).distinct()
+    tmp = Scratch(found.sparkSession)
+    graph = tmp.table(found.select(F.explode("patterns").alias("pattern"), "value", "seed", "never").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.max("never").alias("never")), "graph")
+    seeds = graph.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("r")).distinct()
     total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
     group = F.substring("pattern", 1, 1)
     least = F.when(group == "s", MIN_SCORE["s"]).otherwise(MIN_SCORE["l"])
     support = F.when(group == "s", MIN_SUPPORT["s"]).otherwise(MIN_SUPPORT["l"])
-    accepted, before = None, -1
-    for _ in range(rounds):
-        scores = graph.select("pattern", "value").join(sure, "value").groupBy("pattern", "kind").agg(F.sum("r").alias("r"), F.count("*").alias("held"))
-        scored = scores.join(total, "pattern").withColumn("score", F.col("r") / F.col("n")).where((F.col("score") >= least) & (F.col("held") >= support))
-        accepted = written(scored.groupBy("pattern").agg(F.max_by("kind", F.struct("score", F.col("kind"))).alias("kind"), F.max("score").alias("score")), "patterns")
-        now = accepted.count()
-        if now == before:
-            break
-        before = now
-        lifted = graph.where("seed is null").join(accepted, "pattern").groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("r"))
-        seeds = graph.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("r")).distinct()
+    accepted = tmp.table(found.sparkSession.createDataFrame([], "pattern string, kind string, score double"), "patterns")
+    while True:
+        lifted = graph.where("seed is null").join(accepted, "pattern").where("not kind <=> never").groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("r"))
         sure = seeds.unionByName(lifted.join(seeds.select("value"), "value", "left_anti"))
-    return accepted
+        scores = graph.select("pattern", "value").join(sure, "value").groupBy("pattern", "kind").agg(F.sum("r").alias("r"), F.count("*").alias("held"))
+        scored = scores.join(total, "pattern").withColumn("score", F.round(F.col("r") / F.col("n"), 9)).where((F.col("score") >= least) & (F.col("held") >= support))
+        best = scored.groupBy("pattern").agg(F.max_by("kind", F.struct("score", F.col("kind"))).alias("kind"), F.max("score").alias("score"))
+        new = tmp.table(best.join(accepted.select("pattern"), "pattern", "left_anti"), "patterns")
+        if new.isEmpty():
+            out = written(accepted, "accepted")
+            tmp.clear()
+            return out
+        accepted = accepted.unionByName(new)
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +197,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = written(occurrences(rows), "occurrences")
     accepted = bootstrap(found)
     numbered = found.withColumn("o", F.monotonically_increasing_id())
-    best = numbered.where("seed is null").select("o", F.explode("patterns").alias("pattern")).join(accepted, "pattern").groupBy("o").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"), F.max("score").alias("score"))
+    best = numbered.where("seed is null").select("o", "never", F.explode("patterns").alias("pattern")).join(accepted, "pattern").where("not kind <=> never").groupBy("o").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"), F.max("score").alias("score"))
     known = numbered.where("seed is not null").select("doc_id", "start", "value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), F.lit("seed").alias("origin"))
     new = numbered.where("seed is null").join(best, "o").select("doc_id", "start", "value", F.col("found").alias("kind"), F.round("score", 6).alias("score"), F.lit("pattern").alias("origin"))
     return known.unionByName(new).select("doc_id", "start", F.length("value").alias("length"), "value", "kind", "score", "origin")
@@ -207,7 +229,8 @@ def _masked(docs: DataFrame, text_col: str, patterns, drop: str | None = None) -
                 own = own or patterns(batch)
                 text, at, parts = texts[i].as_py(), 0, []
                 for start, value, kind, forms in got:
-                    kind = kind or max((own[i][p] for p in forms if p in own[i]), default=(0, None))[1]
+                    never = refuted(value)
+                    kind = kind or max((own[i][p] for p in forms if p in own[i] and own[i][p][1] != never), default=(0, None))[1]
                     if kind:
                         parts += [text[at:start], f"[{kind.upper()}]"]
                         at = start + len(value)
