@@ -5,11 +5,9 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-import corpus_pipeline
 import quarrylens.llm.components
-from quarrylens.llm import common, fingerprint, jaccard, language, licenses, neardup, packing, pieces, pii, quality, queries, warc
+from quarrylens.llm import common, fingerprint, jaccard, language, licenses, neardup, pieces, pii, quality, queries, warc
 from quarrylens.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -74,27 +72,6 @@ def test_components_in_rounds(spark, monkeypatch):
     assert sorted(map(str, components(edges).collect())) == want
 
 
-def test_packing_rows(spark):
-    d = docs(spark)
-    got = packing.pack(d, capacity=50, group_items=4).collect()
-    want = {(r.doc_id, len((r.text or "").split())) for r in d.collect()}
-    total = {}
-    for r in got:
-        total.setdefault((r.doc_id), 0)
-        total[r.doc_id] += r.length
-    assert total[7] == 4000
-    assert total[3] == 2 * dict(want)[3]
-    assert 4 not in total
-    assert 5 not in total
-    bins = {}
-    for r in got:
-        bins.setdefault((r.bin_group, r.bin), []).append(r)
-    for own in bins.values():
-        assert sum(r.length for r in own) + own[0].slack == 50
-        assert [r.offset for r in sorted(own, key=lambda r: r.position)] == [sum(x.length for x in own if x.position < r.position) for r in sorted(own, key=lambda r: r.position)]
-    assert packing.pack(d.limit(0)).count() == 0
-
-
 def test_language_rows(spark):
     d = docs(spark)
     net = language.fit(d, steps=40)
@@ -103,6 +80,12 @@ def test_language_rows(spark):
     assert {(r.lang_found, r.confidence, r.keep) for r in got if r.doc_id in (4, 5)} == {(None, 0.0, False)}
     assert next(r for r in got if r.doc_id == 7).n_bytes == len(("wörter " * 4000).encode())
     assert language.kept(d, net).columns == d.columns
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(300)], "doc_id long, text string, lang string"))
+    same = language.fit(spark.createDataFrame([(1, "aaaa", "x"), (1, "aaaa", "y"), (None, "aaaa", None)], "doc_id long, text string, lang string"), steps=1)
+    assert same.names == ["x", "y"]
+    same.out[:], same.bias[:] = 0, 0
+    assert language.identified(d, same).where("doc_id = 1").first().lang_found == "x"  # a tie
     none = language.fit(d.where("lang = 'xx'"))
     assert {r.lang_found for r in language.identified(d, none).collect()} == {None}
     assert language.identified(d.limit(0), net).count() == 0
@@ -123,6 +106,8 @@ def test_quality_rows(spark):
     assert got[1].keep
     assert not got[9].keep
     assert quality.kept(d, m).columns == d.columns
+    two = spark.createDataFrame([(1, "zz yy"), (1, "aa bb")], "doc_id long, text string")
+    assert {quality.fit(two.repartition(n), labels).votes.tolist() == [1.0] for n in (1, 2)} == {True}
     free = quality.fit(d, labels.limit(0))
     assert {r.keep for r in quality.scored(d, free).where("doc_id in (1, 9)").collect()} == {True}
     assert quality.scored(d.limit(0), m).count() == 0
@@ -298,21 +283,3 @@ def test_query_equals_sql(name, spark):
     got, want = queries.QUERIES[name](spark, DIR).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
     key = lambda df: sorted(map(str, df[sorted(df.columns)].itertuples(index=False, name=None)))
     assert key(got) == key(want)
-
-
-def test_pipeline_stages(spark):
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality", "language", "near_copies", "personal_data", "packing"]
-    got = corpus_pipeline.run(spark, DIR)
-    packed = {r.doc_id for r in got.select("doc_id").distinct().collect()}
-    d = spark.read.parquet(f"{DIR}/documents.parquet")
-    labels = spark.read.parquet(f"{DIR}/labels.parquet")
-    good = {r.doc_id for r in labels.where("quality = 1").collect()}
-    groups = {r.doc_id: r.group_id for r in jaccard.groups(d).collect()}
-    lone = {i for i in good if i not in groups}
-    assert len(lone & packed) >= 0.97 * len(lone)
-    bad = {r.doc_id for r in labels.where("quality = 0").collect()}
-    assert len(bad & packed) <= 0.35 * len(bad)
-    kept = [i for i in packed if i in groups]
-    assert len(kept) == len({groups[i] for i in kept})
-    assert got.groupBy("bin_group", "bin").agg(F.sum("length").alias("s")).where("s > 2048").count() == 0
