@@ -54,6 +54,9 @@ def main(args: list[str] | None = None) -> int:
         "docs": lambda: rows(repo.docs(a.q, a.n)), "context": lambda: rows(repo.context(a.q)), "callers": lambda: dict(zip(("definitions", "references"), map(rows, repo.callers(a.q)), strict=True)), "hotspots": lambda: rows(repo.hotspots(a.n)),
         "changes": lambda: rows(repo.changes(a.since)), "grep": lambda: dict(zip(("files", "summary"), map(rows, repo.grep(a.q, a.n, a.t, "insensitive" if a.i else "sensitive" if a.s else "smart")), strict=True)),
     }[a.command]()
+    if a.command in ("symbols", "search", "callers"):  # what the answer may lack; never mixed into the document
+        for r in repo.parse_coverage().collect():
+            print(f"quarrylens: {r.rel_path}: {r.status}: {r.detail}", file=sys.stderr)
     if a.human:
         for title, part in got.items() if isinstance(got, dict) else [("", got)]:
             print(title) if title else None

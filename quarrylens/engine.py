@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import sys
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.functions.paths import dir_of, since_start
-from quarrylens.operators import detect, extract, grep, history, lookup, maintain, metrics, nearest, related, resolve, search, testmap
+from quarrylens.functions.paths import since_start
+from quarrylens.operators import build, detect, grep, history, lookup, maintain, metrics, related, search, testmap
 from quarrylens.sources import gitlog, owners, tree
 from quarrylens.sources.store import Store, key_mtimes, staleness
 
@@ -32,52 +35,50 @@ class Repository:
         found = found.where(~F.col("rel_path").startswith(mine + "/")) if not mine.startswith("..") else found
         return tree.files(found), tree.contents(found)
 
-    def _by_file(self, files: DataFrame, contents: DataFrame) -> dict[str, DataFrame]:
-        """Relations that are made file by file."""
-        return {"symbols": extract.symbols(files, contents), "file_parse": extract.parses(files, contents), "references": extract.references(files, contents), "specs": extract.specs(files, contents), "file_extras": extract.extras(files, contents), "notes": extract.notes(files, contents)}
-
     def _derived(self, files: DataFrame, contents: DataFrame, made: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """Relations that depend on several files; always computed anew, so refreshing equals rebuilding."""
-        wanted = files.where(F.col("rel_path").rlike(r"(^|/)(go\.mod|[tj]sconfig\.json|composer\.json|pubspec\.yaml)$")).select("rel_path").join(contents, "rel_path").collect()
-        packages = [r[0] for r in files.where("rel_path like '%__init__.py'").select(dir_of(F.col("rel_path"))).distinct().collect()]
-        context = resolve.context_of({r["rel_path"]: r["content"] for r in wanted}, packages)
-        imports, fates = resolve.resolve(made["specs"], resolve.key_table(files, contents), context)
         commits, log, about = gitlog.read_log(self.spark, self.root)
-        touched = history.commit_files(commits)
-        churn, pairs = history.churn(touched), history.cochange(touched)
-        cover = history.trust(history.coverage(commits), about["in_repo"], about["shallow"]).withColumn("malformed", F.lit(log.malformed)).withColumn("outside", F.lit(log.outside))
-        dirs = files.where("class = 'source'").select("dir").distinct()
-        return {
-            "imports": imports, "import_stats": metrics.import_stats(fates), "tests": testmap.tests(files, imports), "commits": commits, "churn": churn, "cochange": pairs, "coverage": cover, "file_metrics": metrics.file_metrics(imports, churn),
-            "owners": nearest.owners(files, owners.read_rules(self.spark, self.root)), "nearby": nearest.nearest_configs(dirs, nearest.config_files(files)), "sidecars": extract.sidecars(files, contents),
-        }
+        out = build.derived(files, contents, made, commits, owners.read_rules(self.spark, self.root))
+        cover = history.trust(history.coverage(commits), about["in_repo"], about["shallow"])
+        facts = {"malformed": log.malformed, "outside": log.outside, "window_full": log.scanned >= gitlog.MAX_COMMITS}
+        return out | {"coverage": cover.withColumns({k: F.lit(v) for k, v in facts.items()})}
 
     def _save(self, files: DataFrame, contents: DataFrame, made: dict[str, DataFrame]) -> None:
         head = gitlog.facts(self.root)["head"]
-        self.store.save({"files": files, "contents": contents, **made, **self._derived(files, contents, made)}, head=head, key_mtimes=key_mtimes(self.root))
+        kept = {k: v for k, v in made.items() if k != "facts"}
+        self.store.save({"files": files, "contents": contents, **kept, **self._derived(files, contents, made)}, head=head, key_mtimes=key_mtimes(self.root))
         self.relations = self.store.load() or {}
 
     def rebuild(self) -> None:
         files, contents = (df.persist() for df in self._scan())
-        self._save(files, contents, self._by_file(files, contents))
-        files.unpersist()
-        contents.unpersist()
+        made = build.by_file(files, contents)
+        self._save(files, contents, made)
+        for df in (files, contents, made["facts"]):
+            df.unpersist()
 
     def refresh(self) -> None:
         """Extracts only from files that were added or changed; any trouble with the store leads to a rebuild."""
-        stored = self.store.load()
-        if not stored:
-            return self.rebuild()
+        try:
+            stored = self.store.load()
+            if stored:
+                return self._bring_up(stored)
+        except (PySparkException, Py4JError) as e:
+            print(f"quarrylens: the snapshot can't be used, building anew: {type(e).__name__}", file=sys.stderr)
+        self.rebuild()
+
+    def _bring_up(self, stored: dict[str, DataFrame]) -> None:
         files, contents = (df.persist() for df in self._scan())
         diff = maintain.snapshot_diff(stored["files"], files).persist()
         todo = files.join(diff.where("change <> 'removed'").select("rel_path"), "rel_path", "left_semi")
-        new = self._by_file(todo, contents.join(todo.select("rel_path"), "rel_path", "left_semi"))
+        new = build.by_file(todo, contents.join(todo.select("rel_path"), "rel_path", "left_semi"))
         made = {}
         for name, df in new.items():
+            if name == "facts":
+                continue
             key = "file_path" if "file_path" in df.columns else "rel_path"
             made[name] = maintain.replace_keys(stored[name], diff.select(F.col("rel_path").alias(key)), df, key)
         self._save(files, contents, made)
-        for df in (files, contents, diff):
+        for df in (files, contents, diff, new["facts"]):
             df.unpersist()
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -121,7 +122,7 @@ class Repository:
     def changes(self, since: str = "7d", now: dt.datetime | None = None) -> DataFrame:
         start = since_start(since, now or dt.datetime.now(dt.UTC).replace(tzinfo=None))
         when = self["commits"].withColumn("date", F.to_timestamp("date", "yyyy-MM-dd HH:mm:ss Z"))
-        return history.recent(when, F.lit(start))
+        return history.recent(when, F.lit(start.replace(tzinfo=dt.UTC)))  # an instant, whatever the session's time zone
 
     def _notes(self) -> DataFrame:
         return self["notes"].unionByName(self["sidecars"])

@@ -138,6 +138,13 @@ def matcher(pattern: str, case: str = "smart") -> tuple[str, str, bool]:
     return "regex", end if sensitive else f"(?iu){end}", sensitive
 
 
+def whole_text_form(pattern: str, sensitive: bool) -> str | None:
+    """A pattern that holds for every text with a matching line, "" free of line anchors' meaning; None where there is none."""
+    if re.search(r"\\[AZzG]|\(\?[a-zA-Z]*-", pattern):
+        return None
+    return f"(?{'md' if sensitive else 'mdiu'}){pattern}"
+
+
 def matches(text: Column, pattern: str, case: str = "smart") -> Column:
     kind, form, sensitive = matcher(pattern, case)
     if kind == "regex":

@@ -11,6 +11,7 @@ import ast
 import bisect
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,6 +55,12 @@ NOT_NAMES = set("if for while switch catch return else do new throw sizeof funct
 RANK = {"var": 4, "constant": 3, "type": 2, "property": 2}
 
 
+@lru_cache(1)
+def _tree(text: str) -> ast.Module:
+    """One file is asked for its symbols, calls and imports in turn."""
+    return ast.parse(text)
+
+
 def line_starts(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer("\n", text))]
 
@@ -81,7 +88,7 @@ def python_symbols(text: str) -> list[tuple[str, str, int, str]]:
             elif isinstance(n, (ast.If, ast.Try)):
                 visit(n.body, inside)
 
-    visit(ast.parse(text).body, False)
+    visit(_tree(text).body, False)
     return out
 
 
@@ -102,9 +109,29 @@ def pattern_symbols(text: str, lang: str) -> list[tuple[str, str, int, str]]:
             key = (name, row + 1)
             if key not in best or RANK.get(own, 1) < RANK.get(best[key][0], 1):
                 best[key] = (own, _signature(lines[row].split("{")[0] if lang in BRACED else lines[row]))
+    if lang == "go":
+        for name, kind, row in _go_groups(masked):
+            best.setdefault((name, row + 1), (kind, _signature(lines[row].split("{")[0])))
     return sorted(((n, k, line, s) for (n, line), (k, s) in best.items()), key=lambda r: (r[2], r[0]))
 
 
+def _go_groups(masked: str) -> Iterator[tuple[str, str, int]]:
+    """(name, kind, row) of the members of `const (`, `var (` and `type (` at the top level."""
+    word, depth = None, 0
+    for row, line in enumerate(masked.split("\n")):
+        if word is None:
+            m = re.match(r"(const|var|type)\s*\(\s*$", line)
+            word, depth = (m[1], 1) if m else (None, 0)
+            continue
+        if depth == 1 and (m := re.match(r"\s*(\w+(?:\s*,\s*\w+)*)(?:\s*(?:\[[^\]]*\])?\s+(struct|interface)\b)?", line)):
+            for name in re.split(r"\s*,\s*", m[1]):
+                if name != "_":
+                    yield name, {"const": "constant", "var": "var"}.get(word) or m[2] or "type", row
+        depth += sum(line.count(c) for c in "({[") - sum(line.count(c) for c in ")}]")
+        if depth <= 0:
+            word = None
+
+
 def razor_symbols(text: str) -> list[tuple[str, str, int, str]]:
     """Directives of a view, and the members of its code blocks."""
     clean = re.sub(r"@\*[\s\S]*?\*@", lambda m: re.sub(r"[^\n]", " ", m.group()), text)
@@ -138,6 +165,8 @@ def symbols_of(text: str | None, lang: str) -> tuple[list[tuple[str, str, int, s
     if lang == "razor":
         return razor_symbols(text), "regex", "ok", ""
     if lang in PATTERNS:
+        if lang == "c" and re.search(r"^\s*(?:template\s*<|namespace\s+\w|class\s+\w+[^;]*\{|(?:public|private|protected)\s*:)", mask(text, "cpp"), re.M):
+            lang = "cpp"  # a header that only the other grammar reads
         return pattern_symbols(text, lang), "regex", "ok", ""
     return [], "none", "unsupported", f"no extractor for {lang or 'this file'}"
 
@@ -176,11 +205,11 @@ def parses(files: DataFrame, contents: DataFrame) -> DataFrame:
     return _mapped(_code(files, contents), one, PARSES)
 
 
-def calls(text: str, lang: str) -> list[tuple[str, int]]:
-    """(callee, line) of every call site; a bag."""
+def calls(text: str, lang: str, defs: list[tuple] | None = None) -> list[tuple[str, int]]:
+    """(callee, line) of every call site; a bag. defs are the symbols, if they are known already."""
     if lang == "python":
         try:
-            found = [n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Call)]
+            found = [n for n in ast.walk(_tree(text)) if isinstance(n, ast.Call)]
             return [(f.id if isinstance(f, ast.Name) else f.attr, n.lineno) for n in found if isinstance(f := n.func, (ast.Name, ast.Attribute))]
         except (SyntaxError, ValueError, RecursionError):
             pass
@@ -188,7 +217,7 @@ def calls(text: str, lang: str) -> list[tuple[str, int]]:
         return []
     masked = mask(text, lang)
     starts = line_starts(masked)
-    defined = {(n, line) for n, _, line, _ in pattern_symbols(text, lang)}
+    defined = {(n, line) for n, _, line, _ in (pattern_symbols(text, lang) if defs is None else defs)}
     rows = []
     for m in re.finditer(r"\b([A-Za-z_]\w*[!?]?)\s*(?:::<[^>]*>)?\(", masked):
         line = bisect.bisect_right(starts, m.start()) - 1 + 1
@@ -219,7 +248,7 @@ _SPEC: dict[str, list[tuple[str, str]]] = {
     "shell": [(r"^\s*(?:source|\.)\s+[\"']?([^\s\"';]+)", "source")],
     "php": [(r"^\s*use\s+(?:function\s+|const\s+)?\\?([\w\\]+)", "use"), (r"""\b(?:require|include)(?:_once)?\s*\(?\s*(?:__DIR__\s*\.\s*)?['"]/?([^'"]+)['"]""", "path")],
     "dart": [(r"""^\s*(?:import|export|part)\s+['"]([^'"]+)['"]""", "import")],
-    "scala": [(r"^\s*import\s+([\w.]+(?:\._|\.\*)?)", "import")],
+    "scala": [(r"^\s*import\s+([^\n;]+)", "import")],
     "elixir": [(r"\b([A-Z]\w*(?:\.[A-Z]\w*)+)\b", "module")],
     "swift": [(r"^\s*(?:@testable\s+)?import\s+(?:class\s+|struct\s+|enum\s+|func\s+)?(\w+)", "import")],
 }
@@ -238,13 +267,29 @@ def specifiers(text: str, lang: str) -> list[tuple[str, str]]:
     if lang == "go":
         for block in re.finditer(r"^\s*import\s*\(([\s\S]*?)\)", clean, re.M):
             found += [(block.start(1) + m.start(), "import", m.group(1)) for m in re.finditer(r'"([^"]+)"', block.group(1))]
+    if lang == "scala":
+        found = [(at + i / 1000, kind, s) for at, kind, clause in found for i, s in enumerate(_scala_names(clause))]
     return list(dict.fromkeys((k, s) for _, k, s in sorted(found)))
 
 
+def _scala_names(clause: str) -> list[str]:
+    """`a.b.{C, D => E}, x.Y` as a.b.C, a.b.D, x.Y; hidden names (`C => _`) are none."""
+    out = []
+    for m in re.finditer(r"([\w.]+?)\.?\{([^}]*)\}|([\w.]+(?:\.\*)?)", clause):
+        if m[3]:
+            out.append(m[3])
+            continue
+        for part in m[2].split(","):
+            name, _, alias = re.sub(r"\s+as\s+", "=>", part.strip()).partition("=>")
+            if name.strip() and alias.strip() != "_":
+                out.append(f"{m[1]}.{name.strip()}")
+    return out
+
+
 def _python_specs(text: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     try:
-        nodes = [n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.Import, ast.ImportFrom))]
+        nodes = [n for n in ast.walk(_tree(text)) if isinstance(n, (ast.Import, ast.ImportFrom))]
     except (SyntaxError, ValueError, RecursionError):
         clean = mask(text, "python")
         found = [("import", m) for m in re.findall(r"^\s*import\s+([\w.]+)", clean, re.M)] + [("from", m + ":") for m in re.findall(r"^\s*from\s+(\.*[\w.]*)\s+import", clean, re.M)]
@@ -325,3 +370,44 @@ def extras(files: DataFrame, contents: DataFrame) -> DataFrame:
     plain = r"^\s*($|import\b|from\b.*\bimport\b|using\b|#include|package\b|require\b|use\b|//|/\*|\*|#|--|[{}()\[\];]+\s*$)"
     keep = F.slice(F.filter(first, lambda x: ~x.rlike(plain)), 1, 5)
     return own.select("rel_path", F.array_join(keep, "\n").alias("preview"), F.sha2("content", 256).alias("content_hash"))
+
+
+FACTS = "tag string, rel_path string, lang string, name string, kind string, line int, text string, extractor string"
+
+
+def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """Everything that is read from one file alone, in one pass over the texts; `relations` sorts it out."""
+    from quarrylens.operators.resolve import declarations
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: list[tuple] = []
+            for path, lang, cls, text in zip(frame["rel_path"], frame["lang"], frame["class"], frame["content"], strict=True):
+                out += [("key", path, lang, k, "", 0, "", "") for k in dict.fromkeys(declarations(path, lang, text or ""))]
+                if cls not in PARSED_CLASSES:
+                    continue
+                defs, extractor, status, detail = symbols_of(text, lang)
+                out += [("symbol", path, lang, n, k, line, s, extractor) for n, k, line, s in dict.fromkeys(defs)]
+                out.append(("parse", path, lang, "", status, len(defs), detail, extractor))
+                if not text:
+                    continue
+                out += [("reference", path, lang, n, "", line, "", "") for n, line in calls(text, lang, None if lang == "csharp" else defs)]
+                out += [("spec", path, lang, s, k, i, "", "") for i, (k, s) in enumerate(specifiers(text, lang))]
+                if MARKER in text:
+                    out += [("note", path, lang, s, "comment", line, b, "") for s, line, b in notes_of(path, lang, text, [(n, line) for n, _, line, _ in defs])]
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in FACTS.split(", ")])
+
+    return files.join(contents, "rel_path", "left").select("rel_path", "lang", "class", "content").mapInPandas(run, FACTS)
+
+
+def relations(found: DataFrame) -> dict[str, DataFrame]:
+    """symbols, file_parse, references, specs, notes and keys out of `facts`."""
+    c = F.col
+    of = lambda tag, *cols: found.where(c("tag") == tag).select(*cols)
+    path = c("rel_path").alias("file_path")
+    return {
+        "symbols": of("symbol", path, "name", "kind", "line", c("text").alias("signature"), "extractor").dropDuplicates(["file_path", "name", "kind", "line"]),
+        "file_parse": of("parse", "rel_path", "lang", "extractor", c("kind").alias("status"), c("line").alias("symbol_count"), c("text").alias("detail")),
+        "references": of("reference", "name", path, "line"), "specs": of("spec", "rel_path", "lang", c("line").alias("ord"), "kind", c("name").alias("spec")),
+        "notes": of("note", path, c("name").alias("symbol"), "line", c("kind").alias("source"), c("rel_path").alias("origin_path"), c("text").alias("body")), "keys": of("key", c("name").alias("key"), "rel_path"),
+    }

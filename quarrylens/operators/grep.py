@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.functions.paths import matcher, matches, trimmed
+from quarrylens.functions.paths import matcher, matches, trimmed, whole_text_form
 
 CLASSES = ("source", "test", "config")
 MAX_BYTES = 1 << 20
@@ -14,21 +14,27 @@ COMMENT = r"^(//|/\*|#|\* |@doc|@moduledoc|@spec)"
 TYPES = ("definition", "reference", "comment", "test")
 
 
+def _line_array() -> Column:
+    return F.split(F.regexp_replace("content", r"\n\z", ""), "\n", -1)
+
+
 def lines(contents: DataFrame) -> DataFrame:
     """rel_path, line (from 1) and text of contents(rel_path, content); a final line end opens no line."""
-    parts = F.split("content", "\n", -1)
-    cut = F.when(F.col("content").endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return contents.where("content <> ''").select("rel_path", F.posexplode(cut).alias("line", "text")).withColumn("line", F.col("line").cast("long") + 1)
+    return contents.where("content <> ''").select("rel_path", F.posexplode(_line_array()).alias("line", "text")).withColumn("line", F.col("line").cast("long") + 1)
 
 
 def hits(files: DataFrame, contents: DataFrame, pattern: str, case: str = "smart") -> DataFrame:
-    """Matching lines of eligible files; whole texts are tested for a literal before they are split."""
+    """Matching lines of eligible files; other files go first, and whole texts are tested before they are split."""
     kind, form, sensitive = matcher(pattern, case)
     fit = files.where(F.col("class").isin(*CLASSES) & F.col("size").between(1, MAX_BYTES)).select("rel_path", "class")
     texts = contents.where(~F.substring("content", 1, 512).contains("\0"))
     if kind == "literal":
         texts = texts.where(F.col("content").contains(form) if sensitive else F.lower("content").contains(form.lower()))
-    return lines(texts).where(matches(F.col("text"), pattern, case)).join(fit, "rel_path")
+    elif whole := whole_text_form(pattern, sensitive):
+        texts = texts.where(F.col("content").rlike(whole))
+    split = F.posexplode(_line_array()).alias("line", "text")
+    rows = texts.where("content <> ''").join(fit, "rel_path").select("rel_path", "class", split).withColumn("line", F.col("line").cast("long") + 1)
+    return rows.where(matches(F.col("text"), pattern, case))
 
 
 def grep(files: DataFrame, contents: DataFrame, symbols: DataFrame, metrics: DataFrame, pattern: str, case: str = "smart", type_filter: str | None = None) -> DataFrame:

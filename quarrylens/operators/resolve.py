@@ -25,7 +25,7 @@ from quarrylens.functions.paths import dir_of
 JVM_ROOTS = ("src/main/java/", "src/main/kotlin/", "src/", "app/src/main/java/", "app/src/main/kotlin/", "")
 SCALA_ROOTS = ("src/main/scala/", "app/", "src/", "core/src/main/scala/", "")
 JVM_STD = ("java.", "javax.", "kotlin.", "kotlinx.", "android.", "androidx.", "sun.", "com.sun.", "jdk.")
-SCALA_STD = ("scala.", "java.", "javax.", "akka.", "cats.", "play.")
+SCALA_STD = ("scala.", "java.", "javax.", "akka.", "cats.", "play.", "zio.")
 CS_STD = ("System", "Microsoft", "Newtonsoft", "NUnit", "Xunit")
 PHP_VENDOR = ("Symfony", "Illuminate", "Laravel", "Doctrine", "Psr", "PHPUnit", "Monolog", "GuzzleHttp", "Twig", "Composer", "Carbon", "League")
 JS_EXTS = (".ts", ".tsx", ".mts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".json")
@@ -227,15 +227,15 @@ def declarations(path: str, lang: str, text: str) -> Iterator[str]:
             yield f"spmdir:{m[1]}"
 
 
-def key_table(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """key, rel_path: what specifiers can mean here."""
+def key_table(files: DataFrame, contents: DataFrame | None, declared: DataFrame | None = None) -> DataFrame:
+    """key, rel_path: what specifiers can mean here; declared holds the keys of the files if they are known already."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(k, p) for p, lang, t in zip(frame["rel_path"], frame["lang"], frame["content"], strict=True) for k in dict.fromkeys(declarations(p, lang, t or ""))]
             yield pd.DataFrame(rows, columns=["key", "rel_path"])
 
-    own = files.join(contents, "rel_path", "left").select("rel_path", "lang", "content").mapInPandas(run, "key string, rel_path string")
+    own = declared if declared is not None else files.join(contents, "rel_path", "left").select("rel_path", "lang", "content").mapInPandas(run, "key string, rel_path string")
     shorts = own.where("key like 'short:%'")
     only = shorts.groupBy("key").agg(F.min("rel_path").alias("rel_path"), F.countDistinct("rel_path").alias("n")).where("n = 1")
     only = only.select(F.regexp_replace("key", "^short:", "only:").alias("key"), "rel_path")
@@ -255,11 +255,11 @@ def resolve(specs: DataFrame, keys: DataFrame, context: Context) -> tuple[DataFr
                 ranked, probes, miss = candidates(p, lang, kind, spec, context)
                 out += [(p, o, lang, spec, miss, r, k) for r, group in enumerate(ranked) for k in group]
                 out += [(p, o, lang, spec, miss, -1, k) for k in probes]
-                out.append((p, o, lang, spec, miss, -2, ""))  # every specifier has a row
+                out.append((p, o, lang, spec, miss, -2, f"spec:{p}:{o}"))  # every specifier has a row, under a key of its own
             yield pd.DataFrame(out, columns=["rel_path", "ord", "lang", "spec", "miss", "rank", "key"])
 
     asked = specs.mapInPandas(run, "rel_path string, ord int, lang string, spec string, miss string, rank int, key string")
-    met = asked.join(keys.withColumnRenamed("rel_path", "target_path"), "key", "left")
+    met = asked.join(keys.withColumnRenamed("rel_path", "target_path"), "key", "left").where("target_path is not null or rank = -2")
     hit = F.when((F.col("rank") >= 0) & F.col("target_path").isNotNull(), F.col("rank"))
     per = met.groupBy("rel_path", "ord", "lang", "spec", "miss").agg(F.min(hit).alias("best"), F.max((F.col("rank") == -1) & F.col("target_path").isNotNull()).alias("local"), F.collect_set(F.when(F.col("rank") >= 0, F.struct("rank", "target_path"))).alias("hits"))
     bucket = F.when(F.col("best").isNotNull(), "resolved").when(F.col("local"), "unresolved").otherwise(F.col("miss"))

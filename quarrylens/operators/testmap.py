@@ -96,18 +96,30 @@ def tests(files: DataFrame, imports: DataFrame) -> DataFrame:
     p = F.col("source_path")
     source = files.where(F.col("class").isin("source", "script")).select(F.col("rel_path").alias("source_path"))
     source = source.select("source_path", dir_of(p).alias("sdir"), F.substring(ext_of(p), 2, 20).alias("sext"), stem_of(p).alias("sstem"))
-    # exact case first, then any case: one key, ranked
-    met = forms.join(source, F.lower("stem") == F.lower("sstem")).where("array_contains(family, sext)")
-    inside = (F.col("project") != "") & (F.col("sdir").startswith(F.col("project")) | F.lower("sdir").contains(F.concat(F.lit("/"), F.lower("project"))))
-    near = F.when(F.col("sdir") == F.col("dir"), 4).when(F.array_contains("mirrors", F.col("sdir")), 3).when(inside, 2).otherwise(0)
-    met = met.withColumn("score", near).withColumn("fold", (F.col("stem") != F.col("sstem")).cast("int"))
-    rivals = F.count("*").over(Window.partitionBy("test_path", "ord"))
-    named = met.withColumn("rivals", rivals).where((F.col("score") >= 2) | ((F.col("tier") == 0) & (F.col("rivals") == 1)))
+    # what a stem can mean at all: one row for each spelling and extension, so a name that thousands of files share stays one row
+    spelt = source.groupBy(F.lower("sstem").alias("low"), "sstem", "sext").agg(F.count("*").alias("n"), F.min("source_path").alias("source_path"))
+    fold = (F.col("stem") != F.col("sstem")).cast("int")
+    pool = forms.withColumn("low", F.lower("stem")).join(spelt, "low").where("array_contains(family, sext)").withColumn("fold", fold)
+    # exact case first, then any case
+    first = pool.groupBy("test_path", "ord").agg(F.min("fold").alias("best_fold"), F.sum(F.when(F.col("fold") == 0, F.col("n"))).alias("n0"), F.sum("n").alias("n1"))
+    first = first.select("test_path", "ord", "best_fold", F.coalesce("n0", "n1").alias("rivals"))
+    alone = pool.join(first, ["test_path", "ord"]).where("fold = best_fold and tier = 0 and rivals = 1").withColumn("score", F.lit(0))
+    # nearby ones: (stem, directory) for the test's own and its mirrors
+    places = F.array_distinct(F.concat(F.array(F.struct(F.lit(4).alias("score"), F.col("dir").alias("sdir"))), F.transform("mirrors", lambda m: F.struct(F.lit(3).alias("score"), m.alias("sdir")))))
+    at = forms.withColumn("low", F.lower("stem")).withColumn("at", F.explode(places)).select("*", "at.score", "at.sdir").drop("at")
+    by_name = source.withColumn("low", F.lower("sstem"))
+    close = at.join(by_name, ["low", "sdir"]).where("array_contains(family, sext)").withColumn("fold", fold)
+    inside = F.col("sdir").startswith(F.col("project")) | F.lower("sdir").contains(F.concat(F.lit("/"), F.lower("project")))
+    paired = forms.where("project <> ''").withColumn("low", F.lower("stem")).join(by_name, "low").where(inside & F.expr("array_contains(family, sext)")).withColumn("score", F.lit(2)).withColumn("fold", fold)
+    cols = ["test_path", "tier", "ord", "fold", "score", "sext", "ext", "source_path"]
+    named = close.select(*cols).unionByName(paired.select(*cols)).join(first, ["test_path", "ord"]).where("fold = best_fold").select(*cols).unionByName(alone.select(*cols))
     # a test that imports the one source of its name
     by_import = forms.where("tier = 0").join(imports.withColumnRenamed("source_path", "test_path"), "test_path").where(F.lower(stem_of(F.col("target_path"))) == F.lower("stem"))
     by_import = by_import.groupBy("test_path").agg(F.min("target_path").alias("source_path"), F.countDistinct("target_path").alias("n")).where("n = 1")
     # a stem of two parts or more that begins the source's, close by and without an equal rival
-    begin = forms.where("tier = 0 and stem rlike '[a-z0-9][A-Z_.-]'").join(source, (F.lower(F.substring("stem", 1, 3)) == F.lower(F.substring("sstem", 1, 3)))).where("array_contains(family, sext) and startswith(sstem, stem) and sstem <> stem").withColumn("score", near).where("score >= 2")
+    lead = source.select("*", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("sstem") - 1, F.lit(2))), lambda n: F.substring(F.col("sstem"), F.lit(1), n))).alias("stem")).where("stem rlike '[a-z0-9][A-Z_.-]' and stem <> sstem")
+    near = F.when(F.col("sdir") == F.col("dir"), 4).when(F.array_contains("mirrors", F.col("sdir")), 3).when((F.col("project") != "") & inside, 2).otherwise(0)
+    begin = forms.where("tier = 0").join(lead, "stem").where("array_contains(family, sext)").withColumn("score", near).where("score >= 2")
     top = Window.partitionBy("test_path").orderBy(F.desc("score"))
     begin = begin.withColumn("r", F.rank().over(top)).where("r = 1").groupBy("test_path").agg(F.min("source_path").alias("source_path"), F.countDistinct("source_path").alias("n")).where("n = 1")
     best = F.min(F.struct("tier", "ord", "fold", (-F.col("score")).alias("s"), (F.col("sext") != F.col("ext")).alias("other"), "source_path"))

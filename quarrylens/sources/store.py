@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
+import re
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 SHAPE, LOGIC = 1, 1
@@ -18,38 +20,54 @@ KEY_FILES = ("package.json", "go.mod", "Cargo.toml", "pyproject.toml", "requirem
 
 
 class Store:
+    """A folder on any file system that Spark reaches; a path without a scheme lies where Spark's default says."""
+
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _fs(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def _newest(self) -> str | None:
+        """The highest pointer: pointers are numbered and only ever added whole, so none is seen half written."""
+        fs, path = self._fs()
+        if not fs.exists(path):
+            return None
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return max((n for n in names if re.fullmatch(r"current-\d{12}\.json", n)), default=None)
 
     def meta(self) -> dict | None:
         try:
-            with open(os.path.join(self.folder, "current.json"), encoding="utf-8") as f:
-                got = json.load(f)
-        except (OSError, ValueError):
+            name = self._newest()
+            got = json.loads(self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()[0]) if name else None
+        except (Py4JError, PySparkException, ValueError, TypeError):
             return None
-        return got if (got.get("shape"), got.get("logic")) == (SHAPE, LOGIC) else None
+        return got if got and (got.get("shape"), got.get("logic")) == (SHAPE, LOGIC) else None
 
     def save(self, relations: dict[str, DataFrame], **facts) -> None:
-        name = uuid.uuid4().hex
+        name, before, pointer = uuid.uuid4().hex, self.meta(), self._newest()
         for k, df in relations.items():
-            df.write.parquet(f"file://{os.path.abspath(self.folder)}/{name}/{k}")
-        before = self.meta()
-        part = os.path.join(self.folder, f"current.json.{name}")
-        os.makedirs(self.folder, exist_ok=True)
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump({"shape": SHAPE, "logic": LOGIC, "snapshot": name, "relations": sorted(relations), **facts}, f)
-        os.replace(part, os.path.join(self.folder, "current.json"))
-        if before:
-            shutil.rmtree(os.path.join(self.folder, before["snapshot"]), ignore_errors=True)
+            df.write.parquet(f"{self.folder}/{name}/{k}")
+        text = json.dumps({"shape": SHAPE, "logic": LOGIC, "snapshot": name, "relations": sorted(relations), **facts})
+        fs, part = self._fs(f"part-{name}.json")
+        out = fs.create(part)
+        out.write(bytearray(text.encode()))
+        out.close()
+        number = int(pointer[8:20]) + 1 if pointer else 1
+        fs.rename(part, self._fs(f"current-{number:012d}.json")[1])
+        for old in ([pointer] if pointer else []) + ([before["snapshot"]] if before else []):
+            fs.delete(self._fs(old)[1], True)
 
     def load(self) -> dict[str, DataFrame] | None:
         meta = self.meta()
         if meta is None:
             return None
-        return {k: self.spark.read.parquet(f"file://{os.path.abspath(self.folder)}/{meta['snapshot']}/{k}") for k in meta["relations"]}
+        return {k: self.spark.read.parquet(f"{self.folder}/{meta['snapshot']}/{k}") for k in meta["relations"]}
 
     def clear(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        fs, path = self._fs()
+        fs.delete(path, True)
 
 
 def staleness(meta: dict | None, head: str, key_mtimes: dict[str, int]) -> str:

@@ -1,7 +1,7 @@
 """Source trees as a Spark data source.
 
 Spark's own file sources drop every path with a component that begins with `_` or `.`, so the tree is
-walked here: one partition for each entry at the top, ignore rules applied on the way down.
+walked here, ignore rules applied on the way down.
 """
 
 from __future__ import annotations
@@ -12,14 +12,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarrylens.functions.classify import file_class, language
 from quarrylens.functions.paths import dir_of, glob_regex
+from quarrylens.operators.detect import is_manifest
 
-SKIPPED = {".git", ".hg", ".svn", ".idea", ".vscode", ".vs", ".cache", ".venv", ".tox", ".mypy_cache", ".pytest_cache", ".next", ".nuxt", ".DS_Store", "node_modules", "__pycache__", "bower_components", "venv"}
+#: Directories that are never entered, whatever the ignore files say.
+SKIPPED = set("__pycache__ node_modules .angular .git .gradle .idea .mypy_cache .next .nuxt .pytest_cache .quarrylens .svelte-kit .terraform .tox .turbo .vercel .vs .vscode".split())
 SCHEMA = "rel_path string, size long, mtime long, content binary"
 
 
@@ -84,7 +87,11 @@ def walk(root: str, rel: str, levels: list[tuple[str, list[Rule]]]) -> Iterator[
     for e in entries:
         path = f"{rel}/{e.name}" if rel else e.name
         is_dir = e.is_dir(follow_symlinks=False)
-        if e.is_symlink() or (e.name in SKIPPED and (is_dir or e.name.startswith("."))) or ignored(own, path, is_dir):
+        if ignored(own, path, is_dir) or (is_dir and e.name in SKIPPED):
+            continue
+        if e.is_symlink():
+            if is_manifest(path) and not os.path.exists(e.path):  # listed, though it can't be read: not the same as absent
+                yield path, e.stat(follow_symlinks=False)
             continue
         if is_dir:
             yield from walk(root, path, own)
@@ -93,8 +100,12 @@ def walk(root: str, rel: str, levels: list[tuple[str, list[Rule]]]) -> Iterator[
 
 
 class _Part(InputPartition):
-    def __init__(self, entry: str, is_dir: bool):
-        self.entry, self.is_dir = entry, is_dir
+    def __init__(self, found: list[tuple[str, int, int]]):
+        self.found = found
+
+
+#: A partition ends where it holds so many bytes or files.
+PART_BYTES, PART_FILES = 16 << 20, 1000
 
 
 class TreeReader(DataSourceReader):
@@ -102,20 +113,19 @@ class TreeReader(DataSourceReader):
         self.root, self.with_content = root, with_content
 
     def partitions(self) -> list[InputPartition]:
-        top = [("", _rules_in(self.root, ""))]
-        out = []
-        for e in sorted(os.scandir(self.root), key=lambda e: e.name):
-            is_dir = e.is_dir(follow_symlinks=False)
-            if not e.is_symlink() and not (e.name in SKIPPED and (is_dir or e.name.startswith("."))) and not ignored(top, e.name, is_dir):
-                out.append(_Part(e.name, is_dir))
-        return out or [_Part("", False)]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        if not partition.entry:
-            return
-        top = [("", _rules_in(self.root, ""))]
-        found = walk(self.root, partition.entry, top) if partition.is_dir else [(partition.entry, os.stat(os.path.join(self.root, partition.entry)))]
-        for path, stat in found:
+        """The tree is listed once, as any file source does; the files are then cut in partitions of even size."""
+        out, part, size = [], [], 0
+        for path, stat in walk(self.root, "", []):
+            part.append((path, stat.st_size, stat.st_mtime_ns))
+            size += stat.st_size
+            if size >= PART_BYTES or len(part) >= PART_FILES:
+                out.append(_Part(part))
+                part, size = [], 0
+        return [*out, _Part(part)] if part or not out else out
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, size, mtime in partition.found:
             content = None
             if self.with_content:
                 try:
@@ -123,7 +133,17 @@ class TreeReader(DataSourceReader):
                         content = f.read()
                 except OSError:
                     content = None
-            yield path, stat.st_size, stat.st_mtime_ns, content
+            rows.append((path, size, mtime, content))
+            held += size
+            if held >= 4 << 20:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["rel_path", "size", "mtime", "content"])
 
 
 class TreeSource(DataSource):

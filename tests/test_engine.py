@@ -62,8 +62,8 @@ def test_store_versions(tmp_path, spark):
     assert staleness(s.meta(), "h", {}) == "not_stale"
     assert staleness(s.meta(), "i", {}) == "head_changed"
     assert staleness(s.meta(), "h", {"go.mod": 1}) == "key_file_changed"
-    at = tmp_path / "s" / "current.json"
-    at.write_text(json.dumps(json.loads(at.read_text()) | {"logic": 99}))
+    at = next((tmp_path / "s").glob("current-*.json"))
+    (tmp_path / "s" / "current-000000000009.json").write_text(json.dumps(json.loads(at.read_text()) | {"logic": 99}))
     assert s.load() is None
     assert staleness(s.meta(), "h", {}) == "no_data"
 
