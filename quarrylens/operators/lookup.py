@@ -123,6 +123,14 @@ def path_candidates(path: str, root: str = "") -> list[str]:
     return out
 
 
+def resolve_paths(files: DataFrame, asked: DataFrame, root: str = "") -> DataFrame:
+    """asked(path) with the indexed path that each means, null where there is none."""
+    forms = F.udf(lambda p: path_candidates(p, root), "array<string>", useArrow=True)
+    tries = asked.select("path").distinct().select("path", F.posexplode(forms("path")).alias("o", "rel_path"))
+    hit = tries.join(files.select("rel_path"), "rel_path").groupBy("path").agg(F.min_by("rel_path", "o").alias("rel_path"))
+    return asked.join(hit, "path", "left").select("path", "rel_path")
+
+
 def resolve_path(files: DataFrame, path: str, root: str = "") -> str | None:
     """The first candidate that is indexed."""
     forms = path_candidates(path, root)

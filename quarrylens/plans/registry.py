@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import classify, paths
 from quarrylens.operators import grep, history, lookup, maintain, metrics, nearest, related, search
-from quarrylens.plans import bind
+from quarrylens.plans import bind, tree_queries
 from quarrylens.plans.bind import sql, t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -412,3 +412,7 @@ def import_stats(s, d):
 @query("test_status", sql("docs", "files", "doc_tests", select="select rel_path as test_path, case when rel_path in (select test_path from doc_tests) then 'mapped' when rel_path like '%.py' then 'no_match' else 'unsupported' end as status from files where class = 'test'"))
 def test_status(s, d):
     return lookup.test_status(bind.doc_tests(s, d), bind.files(s, d), s.createDataFrame([("py",)], "ext string"))
+
+
+QUERIES |= tree_queries.QUERIES
+ORACLE_SQL |= tree_queries.ORACLE_SQL

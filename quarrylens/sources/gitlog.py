@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_COMMITS = 500
@@ -39,6 +41,17 @@ def parse(stream: str, prefix: str = "") -> Log:
     return out
 
 
+def commits_of(records: DataFrame, prefix: str = "") -> DataFrame:
+    """Commits of a stored log (one record in a row, as `spark.read.text(path, lineSep=RECORD)` gives them), parsed where they are."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = parse("".join(RECORD + r for r in frame["value"] if r), prefix).rows
+            yield pd.DataFrame(rows, columns=["hash", "author", "date", "message", "files", "is_root"])
+
+    return records.select("value").mapInPandas(run, SCHEMA)
+
+
 def _git(root: str, *args: str) -> str | None:
     got = subprocess.run(["git", "-C", root, *args], capture_output=True, timeout=120)
     return got.stdout.decode("utf-8", "surrogateescape") if got.returncode == 0 else None

@@ -66,6 +66,24 @@ def ignored(levels: list[tuple[str, list[Rule]]], path: str, is_dir: bool) -> bo
     return False
 
 
+def dropped(levels: list[tuple[str, list[Rule]]], path: str) -> bool:
+    """Whether a walk never reaches a file: it, or a directory above it, is ignored or skipped."""
+    parts = path.split("/")
+    above = ("/".join(parts[:n]) for n in range(1, len(parts)))
+    return any(p.rpartition("/")[2] in SKIPPED or ignored(levels, p, True) for p in above) or ignored(levels, path, False)
+
+
+def kept(files: DataFrame, ignore_files: dict[str, str]) -> DataFrame:
+    """files without what the ignore files (directory -> text, "" being the root) leave out."""
+    levels = [(d, parse_rules(text)) for d, text in sorted(ignore_files.items(), key=lambda kv: kv[0].count("/") + bool(kv[0]))]
+
+    @F.pandas_udf("boolean")
+    def stays(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: not dropped([(d, r) for d, r in levels if not d or p.startswith(d + "/")], p)).astype(bool)
+
+    return files.where(stays("rel_path"))
+
+
 def _rules_in(root: str, rel: str) -> list[Rule]:
     out = []
     for name in (".gitignore", ".quarrylensignore") if not rel else (".gitignore",):
