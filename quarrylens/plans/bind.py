@@ -122,7 +122,7 @@ CTES = {
     "churn": "churn as (select file as file_path, count(*) as commits from commit_files group by 1)",
     "metrics": "metrics as (select rel_path, sum(i)::bigint as fan_in, sum(o)::bigint as fan_out, sum(c)::bigint as churn from (select target_path as rel_path, 1 as i, 0 as o, 0 as c from imports union all select source_path, 0, 1, 0 from imports union all select file_path, 0, 0, commits from churn) group by 1)",
     "scored": "scored as (select *, coalesce(fan_in * churn / nullif((select max(fan_in * churn) from metrics), 0), 0)::double as hotspot_score from metrics)",
-    "cochange": "cochange as (select a.file as file_a, b.file as file_b, count(*) as count from commit_files a join commit_files b on a.hash = b.hash and a.file < b.file where a.hash in (select hash from commit_files group by 1 having count(*) <= 6) group by 1, 2)",
+    "cochange": "cochange as (select a.file as file_a, b.file as file_b, count(*) as count from commit_files a join commit_files b on a.hash = b.hash and a.file < b.file where a.hash in (select hash from commit_files group by 1 having count(*) <= 50) group by 1, 2)",
     "commits": "commits as (select o_orderkey as hash, o_orderdate as date, o_orderpriority = '1-URGENT' as is_root, coalesce(fs, []) as files from orders left join (select l_orderkey, list_sort(list(distinct 's' || (l_suppkey % 10) || '/p' || l_partkey)) as fs from lineitem group by 1) on o_orderkey = l_orderkey)",
     "files": "files as (select rel_path, regexp_replace(rel_path, '/[^/]*$', '') as dir, ['python','go','typescript','java','markdown','yaml','shell','css'][doc_id % 8 + 1] as lang, "
     "case when doc_id % 5 = 0 and doc_id % 8 in (0, 6) then 'test' else ['source','source','source','source','doc','other','script','source'][doc_id % 8 + 1] end as class, n_chars as size, 0::bigint as mtime from docs)",

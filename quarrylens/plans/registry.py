@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions import classify, paths
-from quarrylens.operators import grep, history, lookup, maintain, metrics, nearest, related, search
+from quarrylens.operators import extract, grep, history, lookup, maintain, metrics, nearest, related, search
 from quarrylens.plans import bind, tree_queries
 from quarrylens.plans.bind import sql, t
 
@@ -75,7 +75,7 @@ def churn_top(s, d):
 
 @query("cochange_pairs", sql("commit_files", "cochange", select="select * from cochange"))
 def cochange_pairs(s, d):
-    return history.cochange(bind.commit_files(s, d), SMALL_COMMIT)
+    return history.cochange(bind.commit_files(s, d))
 
 
 @query("cochange_neighbours", sql("commit_files", "cochange", select="select file, count from (select file_b as file, count from cochange where file_a = 'p/12' union all select file_a, count from cochange where file_b = 'p/12') where count >= 1"))
@@ -236,18 +236,20 @@ def high_fan_in(s, d):
     return metrics.high_fan_in(line_metrics(s, d), 0.9).select("rel_path", "fan_in")
 
 
+PLAIN = r"""^\s*($|import\b|from\b.*\bimport\b|using\b|#include|package\b|require\b|use\b|//|/\*|\*|#|--|[{}()\[\];]+\s*$)"""
+SHOWN = "shown as (select rel_path, array_to_string(list_filter(string_split(text[1:131072], chr(10))[1:200], lambda x: not regexp_matches(x, '" + PLAIN + "'))[1:5], chr(10)) as preview from docs join files using (rel_path) where class = 'source')"
 SEARCH = """named as (select file_path as rel_path, case when lower(name) = 'ing' then 1.0 when starts_with(lower(name), 'ing') then 0.9 else 0.7 end as w, 0 as tier, lower(name) = 'ing' as exact from symbols where contains(lower(name), 'ing')
 union all select rel_path, case when contains(lower(string_split(rel_path, '/')[-1]), 'ing') then 0.6 else 0.4 end, 1, false from files where class in ('source', 'test', 'config') and contains(lower(rel_path), 'ing')
-union all select rel_path, 0.3, 2, false from docs join files using (rel_path) where class = 'source' and contains(lower(text[1:200]), 'ing')),
+union all select rel_path, 0.3, 2, false from shown where contains(lower(preview), 'ing')),
 texts as (select rel_path, 0.2 as w, 3 as tier, false as exact from docs join files using (rel_path) where class in ('source', 'test', 'config') and contains(lower(text), 'ing') and rel_path not in (select rel_path from named)),
 summed as (select rel_path, least(1.0, sum(w))::double as s, arg_min(tier, (-w, tier)) as tier, bool_or(exact) as exact from (from named union all from texts) group by 1)
 select rel_path, round((case when class = 'test' and not exact and (select bool_or(class <> 'test') from summed join files using (rel_path)) then s * 0.85 else s end)::double, 9) as score, ['symbol', 'file_path', 'preview', 'content'][tier + 1] as tier
 from summed join files using (rel_path) order by score desc, rel_path limit 30"""
 
 
-@query("search_ranked", sql("docs", "files", "lines", "symbols", select=SEARCH).replace("\nnamed as", ",\nnamed as", 1))
+@query("search_ranked", sql("docs", "files", "lines", "symbols", select=SEARCH).replace("\nnamed as", ",\n" + SHOWN + ",\nnamed as", 1))
 def search_ranked(s, d):
-    previews = bind.contents(s, d).select("rel_path", F.substring("content", 1, 200).alias("preview"))
+    previews = extract.extras(bind.files(s, d), bind.contents(s, d))
     return search.search(bind.files(s, d), bind.symbols(s, d), previews, bind.contents(s, d), "ING", 30).drop("context")
 
 
@@ -255,22 +257,47 @@ def target(s: SparkSession, d: str) -> str:
     return t(s, d, "documents").where("doc_id = 6").select(bind.doc_path()).first()[0]
 
 
-RELATED = f"""co as (select a.file_path as file_a, b.file_path as file_b, count(*) as count from (select distinct lang || '/' || source as hash, rel_path as file_path from docs) a join (select distinct lang || '/' || source as hash, rel_path as file_path from docs) b on a.hash = b.hash and a.file_path < b.file_path group by 1, 2),
-me as (select rel_path as p, regexp_replace(rel_path, '/[^/]*$', '') as d from docs where doc_id = 6),
-sig as (select rel_path, 0.3 as w, 'same-directory' as signal from files, me where dir = d
-union all select test_path, 0.9, 'test-pair' from doc_tests, me where source_path = p union all select source_path, 0.9, 'test-pair' from doc_tests, me where test_path = p
-union all select target_path, 0.7, 'imports' from doc_imports, me where source_path = p union all select source_path, 0.7, 'imported-by' from doc_imports, me where target_path = p
-union all select rel_path, 0.2, 'adjacent-package' from files, me where regexp_replace(dir, '/[^/]*$', '') = regexp_replace(d, '/[^/]*$', '') and dir <> d and contains(dir, '/')
-union all select rel_path, 0.3, 'hotspot-dep' from (select target_path as rel_path from doc_imports, me where source_path = p union all select source_path from doc_imports, me where target_path = p) join doc_scored using (rel_path) where hotspot_score > 0.1),
-summed as (select rel_path, round(sum(w), 9)::double as w, count(distinct signal) as n from sig, me where rel_path <> p group by 1)
+def doc_commits(s: SparkSession, d: str) -> DataFrame:
+    """Commits of neighbouring documents: blocks of 4, 6 and 12."""
+    docs = t(s, d, "documents").select("doc_id", bind.doc_path().alias("file"))
+    return docs.select(F.explode(F.array(*[F.concat(F.lit(f"{n}/"), F.expr(f"doc_id div {n}")) for n in (4, 6, 12)])).alias("hash"), "file").distinct()
+
+
+def busy_imports(s: SparkSession, d: str) -> DataFrame:
+    """Each document imports the one of half its number, and all German ones import the one that is asked for."""
+    docs = t(s, d, "documents").select("lang", bind.doc_path().alias("source_path"))
+    busy = docs.where("lang = 'de'").select("source_path", F.lit(target(s, d)).alias("target_path")).where("source_path <> target_path")
+    return bind.doc_imports(s, d).unionByName(busy).distinct()
+
+
+def doc_owners(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "documents").select(bind.doc_path().alias("rel_path"), F.array(F.concat(F.lit("@"), "lang"), F.concat(F.lit("@"), F.col("doc_id") % 3)).alias("owners"))
+
+
+BUSY = """asked as (select rel_path as p, regexp_replace(rel_path, '/[^/]*$', '') as d, regexp_replace(string_split(rel_path, '/')[-1], '\\.[^.]*$', '') as st, lang as l, doc_id % 3 as o from docs where doc_id = 6),
+busy as (select source_path, target_path from doc_imports union select rel_path, p from docs, asked where lang = 'de' and rel_path <> p),
+busy_metrics as (select rel_path, sum(i)::bigint as fan_in, sum(c)::bigint as churn from (select target_path as rel_path, 1 as i, 0 as c from busy union all select source_path, 0, 0 from busy union all select file_path, 0, commits from doc_churn) group by 1),
+busy_scored as (select *, coalesce(fan_in * churn / nullif((select max(fan_in * churn) from busy_metrics), 0), 0)::double as hotspot_score from busy_metrics),
+blocks as (select distinct n || '/' || (doc_id // n) as hash, rel_path as file from docs, (values (4), (6), (12)) v(n)),
+co as (select b.file as rel_path, count(*) as count from blocks a join blocks b on a.hash = b.hash and a.file <> b.file, asked where a.file = p group by 1),
+linked as (select target_path as rel_path, 'imports' as signal from busy, asked where source_path = p union all select source_path, 'imported-by' from busy, asked where target_path = p)"""
+RELATED = """sig as (select rel_path, 0.3 as w, 'same-directory' as signal from files, asked where dir = d
+union all select test_path, 0.9, 'test-pair' from doc_tests, asked where source_path = p union all select source_path, 0.9, 'test-pair' from doc_tests, asked where test_path = p
+union all select rel_path, 0.7, signal from linked union all select rel_path, 0.3, 'hotspot-dep' from linked join busy_scored using (rel_path) where hotspot_score > 0.1
+union all select rel_path, case when count >= 10 then 0.8 when count >= 5 then 0.7 else 0.5 end, 'co-change' from co where count >= 2 union all select rel_path, 0.2, 'hotspot-cochange' from co where (select fan_in from busy_scored, asked where rel_path = p) > 10
+union all select rel_path, 0.6, 'same-name' from files, asked where dir <> d and regexp_replace(string_split(rel_path, '/')[-1], '\\.[^.]*$', '') = st
+union all select rel_path, 0.2, 'adjacent-package' from files, asked where regexp_replace(dir, '/[^/]*$', '') = regexp_replace(d, '/[^/]*$', '') and dir <> d and contains(dir, '/')),
+owned as (select rel_path, lang = l or doc_id % 3 = o as same from docs, asked),
+summed as (select rel_path, round(sum(w) + case when any_value(same) then 0.15 else 0 end, 9)::double as w, count(distinct signal) + any_value(same)::int as n from sig join owned using (rel_path), asked where rel_path <> p group by 1)
 select rel_path, round(case when w <= 0.8 then w else 0.8 + 0.2 * (1 - exp(-(w - 0.8) / 1.5)) end, 9) as score, n as signals from summed order by score desc, rel_path limit 20"""
 
 
-@query("related_ranked", sql("docs", "files", "doc_tests", "doc_imports", "doc_churn", "doc_metrics", "doc_scored", select="@").replace("\n@", ",\n" + RELATED.partition(",\n")[2]))
+@query("related_ranked", sql("docs", "files", "doc_tests", "doc_imports", "doc_churn", select="@").replace("\n@", ",\n" + BUSY + ",\n" + RELATED))
 def related_ranked(s, d):
-    none = s.createDataFrame([], "file_a string, file_b string, count long")
-    owners = s.createDataFrame([], "rel_path string, owners array<string>")
-    return related.related(target(s, d), bind.files(s, d), bind.doc_imports(s, d), bind.doc_tests(s, d), none, doc_metrics(s, d), owners, 20).select("rel_path", "score", F.size("signals").cast("long").alias("signals"))
+    imports = busy_imports(s, d)
+    rated = metrics.file_metrics(imports, bind.doc_churn(s, d))
+    pairs = history.cochange(doc_commits(s, d))
+    return related.related(target(s, d), bind.files(s, d), imports, bind.doc_tests(s, d), pairs, rated, doc_owners(s, d), 20).select("rel_path", "score", F.size("signals").cast("long").alias("signals"))
 
 
 @query("soft_cap", "select l_orderkey, l_linenumber, round(case when x <= 0.8 then x else 0.8 + 0.2 * (1 - exp(-(x - 0.8) / 1.5)) end, 9) as score from (select l_orderkey, l_linenumber, l_quantity / 20.0 as x from lineitem)")
@@ -322,15 +349,15 @@ def unmapped_tests(s, d):
     return lookup.unmapped_tests(bind.doc_tests(s, d), bind.files(s, d))
 
 
-@query("file_context", sql("docs", "files", "doc_imports", "doc_churn", "doc_metrics", "doc_scored", "stats", select="select f.rel_path, f.class, f.size, 'indexed' as status, sha256(d.text) as content_hash, coalesce(m.fan_in, 0) as fan_in, coalesce(m.churn, 0) as churn, s.extracted, s.unresolved from files f join docs d using (rel_path) left join doc_scored m using (rel_path) join stats s using (rel_path) where d.doc_id = 6"))
+@query("file_context", sql("docs", "files", "lines", "symbols", "doc_imports", "doc_churn", "doc_metrics", "doc_scored", "stats", select="""select f.rel_path, f.class, f.size, 'indexed' as status, sha256(d.text) as content_hash, coalesce(m.fan_in, 0) as fan_in, coalesce(m.churn, 0) as churn, s.extracted, s.unresolved,
+'@' || d.lang || ',@' || (d.doc_id % 3) as owners, 2 as configs, d.source || '/Makefile' as readme, (select count(*) from symbols where file_path = f.rel_path) as docs from files f join docs d using (rel_path) left join doc_scored m using (rel_path) join stats s using (rel_path) where d.doc_id = 6"""))
 def file_context(s, d):
     path = target(s, d)
-    extras = bind.contents(s, d).select("rel_path", F.substring("content", 1, 80).alias("preview"), F.sha2("content", 256).alias("content_hash"))
-    owners = s.createDataFrame([], "rel_path string, owners array<string>")
-    near = s.createDataFrame([], "rel_path string, config_type string, config_path string")
-    notes = s.createDataFrame([], "file_path string, symbol string, line int, body string")
-    row = lookup.file_context(path, bind.files(s, d), extras, doc_metrics(s, d), owners, near, notes, bind.doc_stats(s, d))
-    return row.select("rel_path", "class", "size", "status", "content_hash", "fan_in", "churn", "extracted", "unresolved")
+    extras = bind.contents(s, d).select("rel_path", F.col("content").alias("preview"), F.sha2("content", 256).alias("content_hash"))
+    near = t(s, d, "documents").select(bind.doc_path().alias("rel_path"), F.explode(F.array(F.lit("makefile"), F.lit("readme"))).alias("config_type"), F.concat("source", F.lit("/Makefile")).alias("config_path"))
+    notes = bind.symbols(s, d).select("file_path", F.col("name").alias("symbol"), "line", F.col("signature").alias("body"))
+    row = lookup.file_context(path, bind.files(s, d), extras, doc_metrics(s, d), doc_owners(s, d), near, notes, bind.doc_stats(s, d))
+    return row.select("rel_path", "class", "size", "status", "content_hash", "fan_in", "churn", "extracted", "unresolved", F.array_join("owners", ",").alias("owners"), F.size("configs").cast("long").alias("configs"), F.col("configs")["readme"].alias("readme"), F.size("docs").cast("long").alias("docs"))
 
 
 @query("content_hash", sql("docs", select="select rel_path, sha256(text) as content_hash from docs"))

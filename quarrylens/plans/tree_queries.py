@@ -215,7 +215,7 @@ def decoded(s, d):
     """Texts in four encodings, and binary ones that have none."""
     text, n = F.col("text"), F.col("doc_id") % 5
     mark = lambda hex_, name: F.concat(F.unhex(F.lit(hex_)), F.encode(text, name))
-    raw = F.when(n == 0, F.encode(text, "UTF-8")).when(n == 1, mark("EFBBBF", "UTF-8")).when(n == 2, mark("FFFE", "UTF-16LE")).when(n == 3, mark("FEFF", "UTF-16BE")).otherwise(mark("0001020300", "UTF-8"))
+    raw = F.when(n == 0, F.encode(text, "UTF-8")).when(n == 1, mark("EFBBBF", "UTF-8")).when(n == 2, mark("FFFE", "UTF-16LE")).when(n == 3, mark("FEFF", "UTF-16BE")).otherwise(mark("0000010203", "UTF-8"))
     got = tree.contents(t(s, d, "documents").where("text <> ''").select(bind.doc_path().alias("rel_path"), raw.alias("content")))
     return got.select("rel_path", F.sha2("content", 256).alias("content_hash"))
 
