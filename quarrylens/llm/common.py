@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import unicodedata
@@ -18,7 +20,28 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Spark hands Python up to 64 MB at once, held on both sides; texts are cut in smaller slices anyway.
+BATCH_BYTES, BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def modest(spark: SparkSession) -> None:
+    """Smaller batches between Spark and Python, where the session has Spark's own default."""
+    if spark.conf.get(BATCH_KEY, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
+
+
+def give_back() -> None:
+    """Hands memory that earlier tasks of a reused worker have freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -96,6 +119,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds at most about `most` bytes of text, or one row."""
+    give_back()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -108,6 +132,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
                 start, total = i, 0
             total += size
         yield batch.slice(start)
+    give_back()
 
 
 MARK = np.zeros(0x110000, bool)
@@ -138,4 +163,5 @@ def one_text(rows: DataFrame) -> DataFrame:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under names of its own: extra columns never clash."""
+    modest(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.common import slices, small, written
+from quarrylens.llm.common import give_back, modest, slices, small, written
 
 CAPACITY = 2048
 GROUP_ITEMS = 4096
@@ -146,6 +146,7 @@ def _placed(pieces: DataFrame, capacity: int) -> DataFrame:
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         group, held, bins = None, [], 0
 
         def with_places(rows: pa.Table, places: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +191,7 @@ def _placed(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds p_id, p_x (hash of the text) and whether the row is one of many alike."""
+    modest(docs.sparkSession)
     own = docs.withColumn("p_id", F.col(id_col).cast("long")).withColumn("p_x", F.xxhash64(text_col))
     hot = written(own.groupBy("p_id", "p_x").count().where(F.col("count") > HOT).select("p_id", "p_x"), "hot")
     if hot.isEmpty():
