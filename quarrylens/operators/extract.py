@@ -397,7 +397,10 @@ def facts(files: DataFrame, contents: DataFrame) -> DataFrame:
                     out += [("note", path, lang, s, "comment", line, b, "") for s, line, b in notes_of(path, lang, text, [(n, line) for n, _, line, _ in defs])]
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in FACTS.split(", ")])
 
-    return files.join(contents, "rel_path", "left").select("rel_path", "lang", "class", "content").mapInPandas(run, FACTS)
+    # parsing costs far more than its bytes tell: a stated number of partitions is never merged into a few large ones
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = files.repartition(n, "rel_path").join(contents.repartition(n, "rel_path"), "rel_path", "left")
+    return rows.select("rel_path", "lang", "class", "content").mapInPandas(run, FACTS)
 
 
 def relations(found: DataFrame) -> dict[str, DataFrame]:

@@ -127,3 +127,42 @@ def test_ignore_rules():
     assert not tree.ignored([("", rules)], "a/build", False)
     assert not tree.ignored([("", rules)], "a/top", False)
     assert not tree.ignored([("", rules), ("a", tree.parse_rules("!x.log"))], "a/x.log", False)
+
+
+def test_grouped_go_declarations():
+    text = "package a\nconst (\n\tA = iota\n\tB, C = 1, 2\n)\nvar (\n\tx = f(\n\t\ty,\n\t)\n)\ntype (\n\tS struct {\n\t\tq int\n\t}\n\tN int\n)\n"
+    assert [r[:3] for r in extract.symbols_of(text, "go")[0]] == [("A", "constant", 3), ("B", "constant", 4), ("C", "constant", 4), ("x", "var", 7), ("S", "struct", 12), ("N", "type", 15)]
+
+
+def test_scala_selectors():
+    assert [s for _, s in extract.specifiers("import a.b.{C, D => E, F => _}\nimport x.Y, z._\n", "scala")] == ["a.b.C", "a.b.D", "x.Y", "z._"]
+
+
+def test_header_of_the_other_language():
+    assert ("A", "class") in [r[:2] for r in extract.symbols_of("class A {\npublic:\n  int x;\n};\n", "c")[0]]
+
+
+def test_test_mapping_prefers_the_exact_case(spark):
+    none = spark.createDataFrame([], "source_path string, target_path string")
+    rows = [("x/test_cart.py", "test"), ("a/cart.py", "source"), ("b/Cart.py", "source"), ("t/OrderListTest.java", "test"), ("t/OrderListView.java", "source"), ("y/test_twice.py", "test"), ("c/twice.py", "source"), ("d/twice.py", "source")]
+    got = {r.test_path: r.source_path for r in testmap.tests(spark.createDataFrame(rows, "rel_path string, class string"), none).collect()}
+    assert got == {"x/test_cart.py": "a/cart.py", "t/OrderListTest.java": "t/OrderListView.java", "y/test_twice.py": ""}
+
+
+def test_walk_lists_manifests_that_lead_nowhere(tmp_path):
+    for d in (".turbo", ".venv", "a"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.py").write_text("")
+    (tmp_path / "a" / "go.mod").symlink_to(tmp_path / "gone")
+    (tmp_path / "a" / "y.py").symlink_to(tmp_path / "gone")
+    assert [p for p, _ in tree.walk(str(tmp_path), "", [])] == [".venv/x.py", "a/go.mod", "a/x.py"]
+
+
+def test_whole_texts_are_tested_as_lines_are(spark):
+    from quarrylens.operators import grep
+
+    files = spark.createDataFrame([("a.py", "source", 9)], "rel_path string, class string, size long")
+    texts = spark.createDataFrame([("a.py", "one\nTwo end\r\nthree\n")], "rel_path string, content string")
+    for pattern, n in (("^t", 2), ("e$", 2), (r"^\w+$", 2), ("^Two", 1), (r"\Aone", 1), ("end.$", 0), ("[^x]$", 3)):
+        assert grep.hits(files, texts, pattern).count() == sum(bool(x) for x in grep.lines(texts).where(grep.matches(grep.F.col("text"), pattern)).collect()), pattern
+        assert n is not None
