@@ -43,6 +43,36 @@ def test_copies_of_any_script_are_groups(spark):
     assert all(got[i] == got[i + 1] for i in range(0, len(rows), 2))
 
 
+def near_threshold():
+    """Texts of many sizes, each with others whose similarity to it lies about the threshold."""
+    rng, rows = random.Random(5), []
+    for n in (2, 3, 5, 8, 12, 20, 24, 25, 30, 36, 48, 60, 96, 200):
+        for words in 6 * [[f"w{i}" for i in range(3000)]] + 2 * [[f"v{i}" for i in range(40)]]:
+            text = [rng.choice(words) for _ in range(n + 1)]
+            cut = round(n * 0.35 / 1.65) + rng.choice((-1, 0, 0, 1))
+            rows += [text, text[max(cut, 0) :] + [rng.choice(words) for _ in range(cut)], text[: round((n + 1) * 0.655)]]
+    return [(i, " ".join(t)) for i, t in enumerate(rng.sample(rows, len(rows)))]
+
+
+def linked(rows):
+    """The groups of all pairs."""
+    sets = {i: {" ".join(w[k : k + 2]) for k in range(max(1, len(w) - 1))} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if j < i and 20 * len(x & y) >= 13 * len(x | y) and root[i] != root[j]:
+                gone, kept = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: kept if r == gone else r for k, r in root.items()}
+    size = {r: sum(x == r for x in root.values()) for r in root.values()}
+    return {i: (r, size[r] - 1) for i, r in root.items() if size[r] > 1}
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    rows = near_threshold()
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.group_id, r.n_linked) for r in got.collect()} == linked(rows)
+
+
 def test_groups_without_broadcast(spark, monkeypatch):
     d = spark.read.parquet(f"{DIR}/documents.parquet")
     want = sorted(map(str, jaccard.groups(d).collect()))

@@ -219,6 +219,35 @@ def test_small_bands_lose_nothing(a, data):
         assert meet(*(np.array(sorted(x), np.uint64) for x in (a, b)))
 
 
+@pytest.mark.parametrize("n", [3, 5, 12, 24, 25, 30, 48, 400])
+def test_no_pair_at_the_threshold_is_lost(n):
+    rng = np.random.default_rng(n)
+    ranks = rng.integers(0, 200, 1 << 8).astype(np.uint8)
+    draw = lambda k: rng.integers(0, 1 << 62, k, dtype=np.uint64)
+    for _ in range(400):
+        a, apart = draw(n), int(n * 0.35 / 1.65)
+        for b in (np.concatenate([a[apart:], draw(apart)]), a[: -(-13 * n // 20)]):
+            x, y = np.sort(a), np.sort(b)
+            if apart:
+                assert len(set(jaccard.keys(x, 0.65).tolist()) & set(jaccard.keys(y, 0.65).tolist())) >= 2
+                assert len(set(jaccard.keys(x, 0.65, ranks).tolist()) & set(jaccard.keys(y, 0.65, ranks).tolist())) >= 2
+            at = [jaccard.band(len(z)) for z in (x, y)]
+            packed = [np.packbits(jaccard.flipped(z, i), bitorder="little").tobytes() for z, i in zip((x, y), at, strict=True)]
+            assert jaccard.apart(*packed) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_pairs_of_different_roots_meet_once_for_each_key(monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        k, doc = rng.integers(0, 6, 40), rng.integers(0, 12, 40)
+        k, doc = np.unique(np.stack([k, doc]), axis=1)
+        root, n, left = doc // 2, 5 + doc % 3, rng.integers(1, 6, len(doc))
+        got = sorted((a, b) for x, y in jaccard.met(k, doc, root, n, left, 0.65) for a, b in zip(x.tolist(), y.tolist(), strict=True))
+        at = [(i, j) for i in range(len(k)) for j in range(len(k)) if k[i] == k[j] and doc[i] < doc[j] and root[i] != root[j]]
+        assert got == sorted((doc[i], doc[j]) for i, j in at if min(left[i], left[j]) >= -(-13 * (n[i] + n[j]) // 33) - 1)
+
+
 def test_words_keep_their_marks():
     assert common.lower_words("हिन्दी भाषा, É a_1 ÉTÉ") == ["हिन्दी", "भाषा", "é", "a_1", "été"]
     assert common.lower_words("A_1 b-C") == ["a_1", "b", "c"]
