@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from quarrylens.llm import common, language, packing, pii, quality
-from tests.llm.test_queries import DIR, EN, docs
+from tests.llm.test_queries import DIR, EN, docs, linked, near_threshold
 
 
 def brute_patterns(texts):
@@ -185,3 +185,10 @@ def test_stage_rows(name, stage, spark):
     if name == "personal_data":
         assert by[6] == ["mail me: [EMAIL] or [PHONE]"]
     assert stage(spark, d.limit(0), DIR).count() == 0
+
+
+def test_one_copy_of_each_group_of_all_pairs(spark):
+    rows = near_threshold()
+    group = linked(rows)
+    left = corpus_pipeline.one_copy(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR)
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, _ in rows if group.get(i, (i,))[0] == i]
