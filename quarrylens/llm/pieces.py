@@ -50,11 +50,13 @@ class Model:
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         self.score: list[float] = []
+        self.piece: list[str] = []
         self.bytes_of: list[bytes] = []
         self.byte_id: dict[int, int] = {}
         for i in range(sp.vocab_size()):
             piece = sp.id_to_piece(i)
             self.score.append(sp.get_score(i))
+            self.piece.append(piece)
             if sp.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes_of.append(bytes([int(piece[3:5], 16)]))
@@ -80,38 +82,42 @@ class Model:
         return all(float(self.score[i]).is_integer() for i in self.ids.values())
 
     def _ends(self) -> dict[str, tuple[int, ...]]:
-        """Last two or three characters -> sizes of the pieces that can end there, longest first."""
+        """Last two, three or four characters -> sizes of the pieces that can end there, longest first; the longest key that is there holds all."""
         sizes: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 1:
-                sizes.setdefault(p[-2:], {1}).add(min(len(p), 2))
-        for p in self.ids:
-            if len(p) > 2:
-                sizes.setdefault(p[-3:], {1, 2}).add(len(p))
+                end = p[-4:]
+                sizes.setdefault(end, {1} | {k for k in range(2, len(end)) if end[-k:] in self.ids}).add(len(p))
         return {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
 
     def merged(self, text: str) -> list[int]:
         """Greedy merges by rank, leftmost first: what the recursion must equal."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                break
-            k = -best[1]
+        ids, score, parts = self.ids, self.score, list(text)
+        found = [ids.get(x + y) for x, y in zip(parts, parts[1:], strict=False)]
+        while True:
+            k, best = -1, -np.inf
+            for at, i in enumerate(found):
+                if i is not None and score[i] > best:
+                    k, best = at, score[i]
+            if k < 0:
+                return [ids[p] for p in parts]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return [self.ids[p] for p in parts]
+            del found[k]
+            if k:
+                found[k - 1] = ids.get(parts[k - 1] + parts[k])
+            if k < len(found):
+                found[k] = ids.get(parts[k] + parts[k + 1])
 
     def compatible(self, a: int, b: int) -> bool:
         if len(self.pairs) > CACHED_PAIRS:
             self.pairs.clear()
-        x = self.sp.id_to_piece(a) + self.sp.id_to_piece(b)
-        got = self.pairs[a << 20 | b] = self.merged(x) == [a, b]
+        got = self.pairs[a << 20 | b] = self.merged(self.piece[a] + self.piece[b]) == [a, b]
         return got
 
     def solve(self, words: Iterable[str]) -> None:
         """Adds sorted words to `words`; the stacks hold one entry for each depth of the trie."""
         before, last, score = "", [-1], [0.0]
-        ids, bpe, ends, known, pairs = self.ids, self.bpe, self.ends, self.known, self.pairs
+        ids, bpe, ends, known, pairs, length = self.ids, self.bpe, self.ends, self.known, self.pairs, list(map(len, self.piece))
         for word in words:
             shared = 0
             for x, y in zip(before, word, strict=False):
@@ -122,7 +128,7 @@ class Model:
             for end in range(shared + 1, len(word) + 1):
                 best, value = -1, -np.inf
                 if word[end - 1] in known:
-                    for size in ends.get(word[max(0, end - 3) : end]) or ends.get(word[end - 2 : end]) or (1,):
+                    for size in (end > 3 and ends.get(word[end - 4 : end])) or (end > 2 and ends.get(word[end - 3 : end])) or (end > 1 and ends.get(word[end - 2 : end])) or (1,):
                         if size > end:
                             continue
                         i = ids.get(word[end - size : end])
@@ -150,7 +156,7 @@ class Model:
                     end -= 1
                 else:
                     out.append(i)
-                    end -= len(self.sp.id_to_piece(i))
+                    end -= length[i]
             self.words[word] = tuple(reversed(out))
             before = word
 

@@ -311,6 +311,12 @@ def test_pieces_equal_the_library(texts):
     assert [m.decode(g.tolist()) for g in got] == [m.sp.decode(g.tolist()) for g in got]
 
 
+def test_ends_name_no_short_piece_that_is_none():
+    m = pieces.model(pieces.MODEL)
+    assert all(k[-size:] in m.ids for k, sizes in m.ends.items() for size in sizes if 1 < size <= len(k))
+    assert all(len(p) in m.ends[p[-4:]] for p in m.ids if len(p) > 1)
+
+
 def test_unigram_values_are_viterbi(model):
     m = pieces.Model(pieces.MODEL)
     m.bpe, m.ids = False, {"a": 0, "b": 1, "ab": 2, "aba": 3}
