@@ -192,3 +192,39 @@ def test_one_copy_of_each_group_of_all_pairs(spark):
     group = linked(rows)
     left = corpus_pipeline.one_copy(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR)
     assert sorted(r.doc_id for r in left.collect()) == [i for i, _ in rows if group.get(i, (i,))[0] == i]
+
+
+@pytest.mark.parametrize("ends", [(), (-(1 << 63), (1 << 63) - 1)])
+def test_one_copy_among_rows_without_an_id(ends, spark):
+    rng, near = random.Random(8), near_threshold()
+    # linked() names a group by its smallest number: ids first, then texts
+    texts = [t for i, t in near if i % 3 == 0]
+    no_id = sorted({t for i, t in near if i % 3})
+    named = [*ends, *range(5, 5 + len(texts) - len(ends))]
+    group = linked(list(enumerate(texts + no_id)))
+    stay = {k for k in range(len(texts + no_id)) if group.get(k, (k,))[0] == k}
+    rows = [*zip(sorted(named), texts, strict=True), *((None, t) for t in no_id), *((None, t) for t in rng.sample(no_id, 60)), (None, None), (None, None), (None, "..."), (None, "...")]
+    rng.shuffle(rows)
+    left = corpus_pipeline.one_copy(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR)
+    want = [(sorted(named)[k], texts[k]) if k < len(texts) else (None, no_id[k - len(texts)]) for k in stay]
+    assert len(stay) < len(texts + no_id) - 40
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [*want, (None, None), (None, None), (None, "..."), (None, "...")]))
+
+
+def test_one_copy_of_rows_alike_without_an_id(spark):
+    rows = [(None, EN, {"k": 2}), (None, EN, {"k": 1}), (None, EN + " finally", {"k": 0}), (None, "alone here", {"k": 3}), (4, EN + " at last", {"k": 9})]
+    d = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    left = corpus_pipeline.one_copy(spark, d, DIR)
+    assert left.schema == d.schema
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [rows[3], rows[4]]))
+    left = corpus_pipeline.one_copy(spark, d.where("doc_id is null"), DIR)
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [rows[1], rows[3]]))
+
+
+def test_one_copy_tells_words_of_one_checksum_apart(spark):
+    # both words have the CRC-32 4ddb0c25: 13 of 20 pairs of words are shared, of which the two that differ in them would be one
+    text = "a plumless b a buckeroo b c d e f g h i j".split()
+    rows = [(1, " ".join([*text, "k", "l", "m"])), (2, " ".join([*text, "n", "o", "p", "q"]))]
+    assert closure(dict(rows)) == {1: 1, 2: 1}
+    left = corpus_pipeline.one_copy(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR)
+    assert [r.doc_id for r in left.collect()] == [1]

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -432,3 +433,9 @@ def test_damaged_streams_keep_what_came_before():
     assert rows[-1][8]
     assert normal(b"not gzip")[0][-1][8]
     assert normal(gz(b"")) == ([], b"")
+
+
+def test_words_are_those_of_the_sql():
+    texts = ["ΟΔΟΣ και ΟΔΟΣ'Α", "İSTANBUL istanbul", "葛\U000e0100城 x", "ΣΑΣ", "áb Σ1"]
+    got = duckdb.sql("select regexp_extract_all(lower(t), '[\\p{L}\\p{N}\\p{M}_]+') from (select unnest($t) as t)", params={"t": texts}).fetchall()
+    assert [w for (w,) in got] == [common.lower_words(t) for t in texts]
