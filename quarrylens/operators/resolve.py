@@ -33,6 +33,10 @@ REWRITES = {".js": (".ts", ".tsx", ".js", ".jsx"), ".jsx": (".tsx", ".jsx"), ".m
 SWIFT_SYSTEM = set("Foundation UIKit SwiftUI AppKit Combine CoreData CoreGraphics CoreLocation CoreML CoreImage AVFoundation Accelerate ARKit CloudKit Contacts CryptoKit Darwin Dispatch EventKit GameKit Glibc HealthKit MapKit Metal MetalKit Network NaturalLanguage ObjectiveC os OSLog PassKit PDFKit Photos PhotosUI QuartzCore RealityKit SafariServices SceneKit Security SpriteKit StoreKit Swift SwiftData Testing UniformTypeIdentifiers UserNotifications Vision WatchKit WebKit WidgetKit XCTest".split())
 
 
+#: Kinds of keys that are probed only.
+PROBED = ("pyroot", "short", "nsroot", "nstree", "spmdir")
+
+
 @dataclass
 class Context:
     """Facts of the repository that candidates depend on; all small."""
@@ -95,8 +99,9 @@ def candidates(path: str, lang: str, kind: str, spec: str, c: Context) -> tuple[
     """(keys by rank, probes, bucket on a miss) of one specifier."""
     here = posixpath.dirname(path)
     if lang == "go":
-        module = max((m for m in c.go_modules if spec == m or spec.startswith(m + "/")), key=len, default=None)
-        return ([[f"dir:go:{_norm(c.go_modules[module], spec[len(module) + 1 :])}"]], [], "unresolved") if module else ([], [], "external")
+        # its own prefixes, longest first: a look at every module for every specifier would be quadratic
+        module = next((m for m in (spec, *(spec[:i] for i in range(len(spec) - 1, 0, -1) if spec[i] == "/")) if m in c.go_modules), None)
+        return ([[f"dir:go:{_norm(c.go_modules[module], spec[len(module) + 1 :])}"]], [], "unresolved") if module is not None else ([], [], "external")
     if lang in ("javascript", "typescript"):
         if spec.startswith("."):
             return [[k] for k in _js_forms(_norm(here, spec))], [], "unresolved"
@@ -236,13 +241,14 @@ def key_table(files: DataFrame, contents: DataFrame | None, declared: DataFrame
             yield pd.DataFrame(rows, columns=["key", "rel_path"])
 
     own = declared if declared is not None else files.join(contents, "rel_path", "left").select("rel_path", "lang", "content").mapInPandas(run, "key string, rel_path string")
-    shorts = own.where("key like 'short:%'")
-    only = shorts.groupBy("key").agg(F.min("rel_path").alias("rel_path"), F.countDistinct("rel_path").alias("n")).where("n = 1")
-    only = only.select(F.regexp_replace("key", "^short:", "only:").alias("key"), "rel_path")
-    # an Elixir module belongs to the first file that defines it
-    mods = own.where("key like 'mod:%'").groupBy("key").agg(F.min("rel_path").alias("rel_path"))
+    # What is only asked for its presence has one row, so that a name that all files share never meets all that ask for
+    # it; an Elixir module belongs to the first file that defines it. One pass over the declared keys.
+    kind = F.substring_index("key", ":", 1)
+    one = own.groupBy("key", F.when(kind.isin(*PROBED, "mod"), "").otherwise(F.col("rel_path")).alias("of")).agg(F.min("rel_path").alias("rel_path"), F.max("rel_path").alias("last"))
+    single = (kind == "short") & (F.col("rel_path") == F.col("last"))
+    forms = F.when(single, F.array("key", F.concat(F.lit("only"), F.substring("key", 6, 1 << 30)))).otherwise(F.array("key"))
     paths = files.select(F.concat(F.lit("file:"), "rel_path").alias("key"), "rel_path")
-    return own.where("key not like 'mod:%'").unionByName(mods).unionByName(only).unionByName(paths)
+    return one.select(F.explode(forms).alias("key"), "rel_path").unionByName(paths)
 
 
 def resolve(specs: DataFrame, keys: DataFrame, context: Context) -> tuple[DataFrame, DataFrame]:
@@ -253,15 +259,15 @@ def resolve(specs: DataFrame, keys: DataFrame, context: Context) -> tuple[DataFr
             out = []
             for p, lang, o, kind, spec in zip(*(frame[c] for c in ("rel_path", "lang", "ord", "kind", "spec")), strict=True):
                 ranked, probes, miss = candidates(p, lang, kind, spec, context)
-                out += [(p, o, lang, spec, miss, r, k) for r, group in enumerate(ranked) for k in group]
-                out += [(p, o, lang, spec, miss, -1, k) for k in probes]
-                out.append((p, o, lang, spec, miss, -2, f"spec:{p}:{o}"))  # every specifier has a row, under a key of its own
+                out += [(p, o, None, None, None, r, k) for r, group in enumerate(ranked) for k in group]
+                out += [(p, o, None, None, None, -1, k) for k in probes]
+                out.append((p, o, lang, spec, miss, -2, f"spec:{p}:{o}"))  # every specifier has a row, under a key of its own, which alone says what it is
             yield pd.DataFrame(out, columns=["rel_path", "ord", "lang", "spec", "miss", "rank", "key"])
 
     asked = specs.mapInPandas(run, "rel_path string, ord int, lang string, spec string, miss string, rank int, key string")
     met = asked.join(keys.withColumnRenamed("rel_path", "target_path"), "key", "left").where("target_path is not null or rank = -2")
     hit = F.when((F.col("rank") >= 0) & F.col("target_path").isNotNull(), F.col("rank"))
-    per = met.groupBy("rel_path", "ord", "lang", "spec", "miss").agg(F.min(hit).alias("best"), F.max((F.col("rank") == -1) & F.col("target_path").isNotNull()).alias("local"), F.collect_set(F.when(F.col("rank") >= 0, F.struct("rank", "target_path"))).alias("hits"))
+    per = met.groupBy("rel_path", "ord").agg(*[F.max(c).alias(c) for c in ("lang", "spec", "miss")], F.min(hit).alias("best"), F.max((F.col("rank") == -1) & F.col("target_path").isNotNull()).alias("local"), F.collect_set(F.when(F.col("rank") >= 0, F.struct("rank", "target_path"))).alias("hits"))
     bucket = F.when(F.col("best").isNotNull(), "resolved").when(F.col("local"), "unresolved").otherwise(F.col("miss"))
     found = per.select("rel_path", "lang", "ord", "spec", bucket.alias("bucket"), F.filter("hits", lambda h: h["rank"] == F.col("best")).alias("hits"))
     edges = found.select(F.col("rel_path").alias("source_path"), F.explode("hits").alias("h")).select("source_path", F.col("h.target_path").alias("target_path"))

@@ -166,3 +166,29 @@ def test_whole_texts_are_tested_as_lines_are(spark):
     for pattern, n in (("^t", 2), ("e$", 2), (r"^\w+$", 2), ("^Two", 1), (r"\Aone", 1), ("end.$", 0), ("[^x]$", 3)):
         assert grep.hits(files, texts, pattern).count() == sum(bool(x) for x in grep.lines(texts).where(grep.matches(grep.F.col("text"), pattern)).collect()), pattern
         assert n is not None
+
+
+def test_probes_meet_one_row_for_each_name(spark):
+    """A root that all files share would meet every specifier that asks for it: files times specifiers."""
+    names = [f"py/m{i}.py" for i in range(50)]
+    files = spark.createDataFrame([(n, "python") for n in names] + [("a.cs", "csharp"), ("b.cs", "csharp")], "rel_path string, lang string")
+    contents = spark.createDataFrame([(n, "") for n in names] + [("a.cs", "namespace A.B { class X {} class Y {} }"), ("b.cs", "namespace A.C { class X {} }")], "rel_path string, content string")
+    keys = [(r.key, r.rel_path) for r in resolve.key_table(files, contents).collect()]
+    assert [k for k, _ in keys if k.partition(":")[0] in resolve.PROBED and sum(k == other for other, _ in keys) > 1] == []
+    assert {"pyroot:py", "nsroot:A", "nstree:A", "nstree:A.B", "short:X"} <= {k for k, _ in keys}
+    assert [(k, p) for k, p in keys if k.startswith("only:")] == [("only:Y", "a.cs")]
+    specs = spark.createDataFrame([(n, "python", 0, "from", f"py.m{i}:x") for i, n in enumerate(reversed(names))], "rel_path string, lang string, ord int, kind string, spec string")
+    imports, fates = resolve.resolve(specs, resolve.key_table(files, contents), resolve.Context())
+    assert imports.count() == 50 and {r.bucket for r in fates.collect()} == {"resolved"}
+
+
+def test_go_module_is_found_by_the_prefixes_of_the_specifier():
+    class Asked(dict):
+        def __iter__(self):
+            raise AssertionError("every module was looked at")
+
+    c = resolve.Context(go_modules=Asked({f"ex.com/s{i}": f"svc/s{i}" for i in range(9)} | {"ex.com/s1/in": "deep"}))
+    assert resolve.candidates("a.go", "go", "import", "ex.com/s1/in/x", c)[0] == [["dir:go:deep/x"]]
+    assert resolve.candidates("a.go", "go", "import", "ex.com/s1/inner", c)[0] == [["dir:go:svc/s1/inner"]]
+    assert resolve.candidates("a.go", "go", "import", "ex.com/s1", c)[0] == [["dir:go:svc/s1"]]
+    assert resolve.candidates("a.go", "go", "import", "ex.com/s10/x", c) == ([], [], "external")
