@@ -17,9 +17,10 @@ def by_file(files: DataFrame, contents: DataFrame) -> dict[str, DataFrame]:
     return {"facts": found, **extract.relations(found), "file_extras": extract.extras(files, contents)}
 
 
-def context(files: DataFrame, contents: DataFrame) -> resolve.Context:
+def context(files: DataFrame, contents: DataFrame | None) -> resolve.Context:
     """What manifests say about paths: of module files all, of Python packages the roots alone."""
-    texts = files.where(F.col("rel_path").rlike(MANIFESTS) & (F.col("class") != "vendor")).select("rel_path").join(contents, "rel_path").collect()
+    found = files.where(F.col("rel_path").rlike(MANIFESTS) & (F.col("class") != "vendor"))
+    texts = (found if contents is None else found.select("rel_path").join(contents, "rel_path")).select("rel_path", "content").where("content is not null").collect()
     packages = files.where("rel_path like '%__init__.py'").select(dir_of(F.col("rel_path")).alias("dir")).distinct()
     roots = packages.withColumn("up", dir_of(F.col("dir"))).join(packages.select(F.col("dir").alias("up")), "up", "left_anti")
     return resolve.context_of({r["rel_path"]: r["content"] for r in texts}, [r["dir"] for r in roots.select("dir").collect()])

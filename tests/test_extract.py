@@ -192,3 +192,46 @@ def test_go_module_is_found_by_the_prefixes_of_the_specifier():
     assert resolve.candidates("a.go", "go", "import", "ex.com/s1/inner", c)[0] == [["dir:go:svc/s1/inner"]]
     assert resolve.candidates("a.go", "go", "import", "ex.com/s1", c)[0] == [["dir:go:svc/s1"]]
     assert resolve.candidates("a.go", "go", "import", "ex.com/s10/x", c) == ([], [], "external")
+
+
+def leaves(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_only_asked_facts_are_worked_out(spark):
+    text = "# @context: why\nimport os\nclass A:\n    def f(self):\n        return g(1)\n"
+    files = spark.createDataFrame([("a.py", "python", "source", text), ("b.py", "python", "source", None), ("c.md", "markdown", "doc", "x")], "rel_path string, lang string, class string, content string")
+    every = extract.facts(files, None).collect()
+    assert {r.tag for r in every} == set(extract.TAGS)
+    for tag in extract.TAGS:
+        assert sorted(map(tuple, extract.facts(files, None, (tag,)).collect())) == sorted(tuple(r) for r in every if r.tag == tag)
+    apart = extract.facts(files.drop("content"), files.select("rel_path", "content"))
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, every))
+    assert leaves(extract.relations(extract.facts(files, None, ("symbol",)))["symbols"], "Join") == 0
+
+
+def test_tree_is_one_scan_spread_over_the_cores(spark):
+    from quarrylens.plans import project
+
+    tree = project.tree(spark, "/root/testdata/sf0.001")
+    plan = tree._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "Join" not in plan
+    full = sum(len(x) > 0 for x in tree.select("rel_path").where("rel_path not like 'svc/%'").rdd.glom().collect())
+    assert full >= 4
+
+
+def test_plain_class_equals_the_rules(spark):
+    from pyspark.sql import functions as F
+
+    from quarrylens.functions import classify
+
+    names = ["a", "test_a", "a_test", "ATests", "a.spec", "IT", ".eslintrc", "go", "package", "Dockerfile", "x.Test", "a_test.b", "\u017f", "\u212a", "a\n"]
+    ends = ["", ".py", ".go", ".TS", ".cs", ".md", ".json", ".min.js", ".pb.go", ".config.mjs", ".tf", ".csv", ".PNG", ".sh", ".sh\n", "."]
+    dirs = ["", "vendor/", "Vendor/", "a.Tests/", "tests/", "Tests/", "docs/", "x/Gen/", "a.b/"]
+    rows = [d + n + e for d in dirs for n in names for e in ends]
+    found = spark.createDataFrame([(r,) for r in rows], "p string").select("p", classify.file_class(F.col("p")).alias("c")).collect()
+    rules = None
+    for name, form in classify.RULES:
+        rules = F.when(F.col("p").rlike(form), name) if rules is None else rules.when(F.col("p").rlike(form), name)
+    want = {r.p: r.c for r in spark.createDataFrame([(r,) for r in rows], "p string").select("p", rules.otherwise("other").alias("c")).collect()}
+    assert {r.p: r.c for r in found} == want
