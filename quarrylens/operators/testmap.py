@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.classify import test_kind
@@ -78,52 +78,77 @@ def project(directory: str) -> str:
     return (m[1] + m[2]) if m else ""
 
 
+def _family(ext: Column) -> Column:
+    """The same for extensions that stand for each other."""
+    out = None
+    for i, f in enumerate(FAMILIES):
+        out = F.when(ext.isin(*sorted(f)), f"/{i}") if out is None else out.when(ext.isin(*sorted(f)), f"/{i}")
+    return out.otherwise(ext)
+
+
 def tests(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """test_path, source_path ("" where nothing is accepted), kind of every test file."""
-    own = files.where("class = 'test'").select("rel_path", ext_of(F.col("rel_path")).alias("ext"))
+    """test_path, source_path ("" where nothing is accepted), kind of every test file.
+
+    Tests and sources are each read once: both say under which keys they can meet, and one join brings them together.
+    Keys begin with n (all that a name can mean), c (a name in one directory), p (a name, for paired projects) or l (how
+    a name begins); s is the row that every test has.
+    """
+    c, nul = F.col, F.lit("\0")
+    own = files.where("class = 'test'").select("rel_path", ext_of(c("rel_path")).alias("ext"))
 
     def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, ext in zip(frame["rel_path"], frame["ext"], strict=True):
                 d, _, name = path.rpartition("/")
-                family = sorted(next((f for f in FAMILIES if ext[1:] in f), {ext[1:]}))
+                rows.append((path, d, ext[1:], None, "", -1, -1, None))
                 for o, (tier, stem) in enumerate(stems(name) if ext[1:] in _AFFIXES else []):
-                    rows.append((path, d, ext[1:], family, mirrors(d), project(d), tier, o, stem))
-            yield pd.DataFrame(rows, columns=["test_path", "dir", "ext", "family", "mirrors", "project", "tier", "ord", "stem"])
-
-    forms = own.mapInPandas(asked, "test_path string, dir string, ext string, family array<string>, mirrors array<string>, project string, tier int, ord int, stem string")
-    p = F.col("source_path")
-    source = files.where(F.col("class").isin("source", "script")).select(F.col("rel_path").alias("source_path"))
-    source = source.select("source_path", dir_of(p).alias("sdir"), F.substring(ext_of(p), 2, 20).alias("sext"), stem_of(p).alias("sstem"))
-    # what a stem can mean at all: one row for each spelling and extension, so a name that thousands of files share stays one row
-    spelt = source.groupBy(F.lower("sstem").alias("low"), "sstem", "sext").agg(F.count("*").alias("n"), F.min("source_path").alias("source_path"))
-    fold = (F.col("stem") != F.col("sstem")).cast("int")
-    pool = forms.withColumn("low", F.lower("stem")).join(spelt, "low").where("array_contains(family, sext)").withColumn("fold", fold)
-    # exact case first, then any case
-    first = pool.groupBy("test_path", "ord").agg(F.min("fold").alias("best_fold"), F.sum(F.when(F.col("fold") == 0, F.col("n"))).alias("n0"), F.sum("n").alias("n1"))
-    first = first.select("test_path", "ord", "best_fold", F.coalesce("n0", "n1").alias("rivals"))
-    alone = pool.join(first, ["test_path", "ord"]).where("fold = best_fold and tier = 0 and rivals = 1").withColumn("score", F.lit(0))
-    # nearby ones: (stem, directory) for the test's own and its mirrors
-    places = F.array_distinct(F.concat(F.array(F.struct(F.lit(4).alias("score"), F.col("dir").alias("sdir"))), F.transform("mirrors", lambda m: F.struct(F.lit(3).alias("score"), m.alias("sdir")))))
-    at = forms.withColumn("low", F.lower("stem")).withColumn("at", F.explode(places)).select("*", "at.score", "at.sdir").drop("at")
-    by_name = source.withColumn("low", F.lower("sstem"))
-    close = at.join(by_name, ["low", "sdir"]).where("array_contains(family, sext)").withColumn("fold", fold)
-    inside = F.col("sdir").startswith(F.col("project")) | F.lower("sdir").contains(F.concat(F.lit("/"), F.lower("project")))
-    paired = forms.where("project <> ''").withColumn("low", F.lower("stem")).join(by_name, "low").where(inside & F.expr("array_contains(family, sext)")).withColumn("score", F.lit(2)).withColumn("fold", fold)
-    cols = ["test_path", "tier", "ord", "fold", "score", "sext", "ext", "source_path"]
-    named = close.select(*cols).unionByName(paired.select(*cols)).join(first, ["test_path", "ord"]).where("fold = best_fold").select(*cols).unionByName(alone.select(*cols))
+                    rows.append((path, d, ext[1:], mirrors(d), project(d), tier, o, stem))
+            yield pd.DataFrame(rows, columns=["test_path", "dir", "ext", "mirrors", "project", "tier", "ord", "stem"])
+
+    forms = own.mapInPandas(asked, "test_path string, dir string, ext string, mirrors array<string>, project string, tier int, ord int, stem string")
+    spelt = F.concat(_family(c("ext")), nul, F.lower("stem"))
+    text, texts = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    probe = lambda key, score=0, d=text, m=texts, p=text: F.struct(F.concat(*key).alias("key"), F.lit(score).alias("score"), d.alias("dir"), m.alias("mirrors"), p.alias("project"))
+    at = lambda d, score: probe([F.lit("c"), spelt, nul, d], score)
+    paired = F.when(c("project") != "", probe([F.lit("p"), spelt], 2, p=c("project")))
+    leading = F.when(c("tier") == 0, probe([F.lit("l"), _family(c("ext")), nul, c("stem")], 0, c("dir"), c("mirrors"), c("project")))
+    probes = F.concat(F.array(probe([F.lit("n"), spelt]), at(c("dir"), 4), paired, leading), F.transform("mirrors", lambda m: at(m, 3)))
+    probes = F.when(c("stem").isNull(), F.array(probe([F.lit("s"), c("test_path")]))).otherwise(probes)
+    asks = forms.select("test_path", "ext", "tier", "ord", "stem", F.explode(probes).alias("at")).where("at is not null").select("test_path", "ext", "tier", "ord", "stem", "at.*")
+
+    source = files.where(c("class").isin("source", "script")).select(c("rel_path").alias("source_path"))
+    source = source.select("source_path", dir_of(c("source_path")).alias("sdir"), F.substring(ext_of(c("source_path")), 2, 20).alias("sext"), stem_of(c("source_path")).alias("sstem"))
+    family, name = F.concat(_family(c("sext")), nul), F.concat(_family(c("sext")), nul, F.lower("sstem"))
+    # a stem of two parts or more that begins the source's
+    begins = F.transform(F.sequence(F.lit(2), F.greatest(F.length("sstem") - 1, F.lit(2))), lambda n: F.substring(c("sstem"), F.lit(1), n))
+    begins = F.filter(begins, lambda x: x.rlike("[a-z0-9][A-Z_.-]") & (x != c("sstem")))
+    keys = F.concat(F.array(F.concat(F.lit("n"), name), F.concat(F.lit("c"), name, nul, "sdir"), F.concat(F.lit("p"), name)), F.transform(begins, lambda x: F.concat(F.lit("l"), family, x)))
+    # of what a name can mean there is one row for each spelling and extension, so a name that thousands of files share stays one row
+    meant = source.withColumn("key", F.explode(keys)).groupBy("key", "sstem", "sext", F.when(c("key").startswith("n"), "").otherwise(c("source_path")).alias("of"))
+    meant = meant.agg(F.count("*").alias("n"), F.min("source_path").alias("source_path"), F.min("sdir").alias("sdir"))
+
+    met = asks.join(meant, "key", "left").withColumn("kind", F.substring("key", 1, 1)).withColumn("fold", (c("stem") != c("sstem")).cast("int"))
+    inside = c("sdir").startswith(c("project")) | F.lower("sdir").contains(F.concat(F.lit("/"), F.lower("project")))
+    near = F.when(c("sdir") == c("dir"), 4).when(F.array_contains("mirrors", c("sdir")), 3).when((c("project") != "") & inside, 2).otherwise(0)
+    met = met.withColumn("score", F.when(c("kind") == "l", near).otherwise(c("score")))
+    met = met.where((c("kind") == "s") | (c("source_path").isNotNull() & (c("kind").isin("n", "c") | ((c("kind") == "l") & (c("score") >= 2)) | ((c("kind") == "p") & inside))))
+    # for each stem: exact case before any case; what is near, and the only one if there is no rival
+    of = lambda *kinds: c("kind").isin(*kinds)
+    place = F.struct((-c("score")).alias("s"), (c("sext") != c("ext")).alias("other"), "source_path")
+    least = lambda cond: F.min(F.when(cond, place))
+    per = met.groupBy("test_path", "tier", "ord").agg(
+        F.min(F.when(of("n"), c("fold"))).alias("fold"), F.sum(F.when(of("n") & (c("fold") == 0), c("n"))).alias("n0"), F.sum(F.when(of("n"), c("n"))).alias("n1"),
+        *[least(of("c", "p") & (c("fold") == f)).alias(f"near{f}") for f in (0, 1)], *[least(of("n") & (c("fold") == f)).alias(f"only{f}") for f in (0, 1)],
+        F.min(F.when(of("l"), F.struct((-c("score")).alias("s"), "source_path"))).alias("first"), F.max(F.when(of("l"), F.struct("score", "source_path"))).alias("last"),
+    )
+    alone = F.when((c("tier") == 0) & (F.coalesce("n0", "n1") == 1), F.when(c("fold") == 0, c("only0")).otherwise(c("only1")))
+    per = per.withColumn("b", F.least(F.when(c("fold") == 0, c("near0")).when(c("fold") == 1, c("near1")), alone))
+    one = per.groupBy("test_path").agg(F.min(F.when(c("b").isNotNull(), F.struct("tier", "ord", "fold", "b"))).alias("named"), F.min("first").alias("first"), F.max("last").alias("last"))
+    # a name's beginning counts if the nearest source that has it has no equal rival
+    begin = F.when(c("first.source_path") == c("last.source_path"), c("first.source_path"))
     # a test that imports the one source of its name
-    by_import = forms.where("tier = 0").join(imports.withColumnRenamed("source_path", "test_path"), "test_path").where(F.lower(stem_of(F.col("target_path"))) == F.lower("stem"))
-    by_import = by_import.groupBy("test_path").agg(F.min("target_path").alias("source_path"), F.countDistinct("target_path").alias("n")).where("n = 1")
-    # a stem of two parts or more that begins the source's, close by and without an equal rival
-    lead = source.select("*", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("sstem") - 1, F.lit(2))), lambda n: F.substring(F.col("sstem"), F.lit(1), n))).alias("stem")).where("stem rlike '[a-z0-9][A-Z_.-]' and stem <> sstem")
-    near = F.when(F.col("sdir") == F.col("dir"), 4).when(F.array_contains("mirrors", F.col("sdir")), 3).when((F.col("project") != "") & inside, 2).otherwise(0)
-    begin = forms.where("tier = 0").join(lead, "stem").where("array_contains(family, sext)").withColumn("score", near).where("score >= 2")
-    top = Window.partitionBy("test_path").orderBy(F.desc("score"))
-    begin = begin.withColumn("r", F.rank().over(top)).where("r = 1").groupBy("test_path").agg(F.min("source_path").alias("source_path"), F.countDistinct("source_path").alias("n")).where("n = 1")
-    best = F.min(F.struct("tier", "ord", "fold", (-F.col("score")).alias("s"), (F.col("sext") != F.col("ext")).alias("other"), "source_path"))
-    found = named.groupBy("test_path").agg(best.alias("b")).select("test_path", F.lit(0).alias("t"), F.col("b.source_path").alias("source_path"))
-    found = found.unionByName(by_import.select("test_path", F.lit(1).alias("t"), "source_path")).unionByName(begin.select("test_path", F.lit(2).alias("t"), "source_path"))
-    first = found.groupBy("test_path").agg(F.min_by("source_path", "t").alias("source_path"))
-    return own.select(F.col("rel_path").alias("test_path")).join(first, "test_path", "left").select("test_path", F.coalesce("source_path", F.lit("")).alias("source_path"), test_kind(F.col("test_path")).alias("kind"))
+    by_import = forms.where("tier = 0").join(imports.withColumnRenamed("source_path", "test_path"), "test_path").where(F.lower(stem_of(c("target_path"))) == F.lower("stem"))
+    by_import = by_import.groupBy("test_path").agg(F.min("target_path").alias("imported"), F.max("target_path").alias("other")).where("imported = other").select("test_path", "imported")
+    found = F.coalesce(c("named.b.source_path"), c("imported"), begin, F.lit(""))
+    return one.join(by_import, "test_path", "left").select("test_path", found.alias("source_path"), test_kind(c("test_path")).alias("kind"))

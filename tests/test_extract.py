@@ -198,6 +198,20 @@ def leaves(df, name):
     return df._jdf.queryExecution().optimizedPlan().toString().count(name)
 
 
+def test_tests_and_sources_are_each_read_once(spark):
+    files = spark.range(40).selectExpr("concat(if(id % 2 = 0, 'src/m', 'tests/test_m'), id div 2, '.py') as rel_path", "if(id % 2 = 0, 'source', 'test') as class")
+    found = testmap.tests(files, spark.sql("select '' as source_path, '' as target_path where false"))
+    assert leaves(found, "Range (") == 2
+    assert {(r.test_path, r.source_path) for r in found.collect()} == {(f"tests/test_m{i}.py", f"src/m{i}.py") for i in range(20)}
+
+
+def test_beginnings_and_paired_projects(spark):
+    """An equal rival leaves a test open, a nearer source decides."""
+    names = [("src/order_line_item.py", "source"), ("tests/test_order_line.py", "test"), ("a/fooBarBaz.ts", "source"), ("a/fooBarQux.ts", "source"), ("a/fooBar.test.ts", "test"), ("Shop/Cart.cs", "source"), ("Other/Cart.cs", "source"), ("Shop.Tests/deep/CartTests.cs", "test"), ("t/x.test.zzz", "test")]
+    got = {r.test_path: r.source_path for r in testmap.tests(spark.createDataFrame(names, "rel_path string, class string"), spark.createDataFrame([], "source_path string, target_path string")).collect()}
+    assert got == {"tests/test_order_line.py": "src/order_line_item.py", "a/fooBar.test.ts": "", "Shop.Tests/deep/CartTests.cs": "Shop/Cart.cs", "t/x.test.zzz": ""}
+
+
 def test_only_asked_facts_are_worked_out(spark):
     text = "# @context: why\nimport os\nclass A:\n    def f(self):\n        return g(1)\n"
     files = spark.createDataFrame([("a.py", "python", "source", text), ("b.py", "python", "source", None), ("c.md", "markdown", "doc", "x")], "rel_path string, lang string, class string, content string")
