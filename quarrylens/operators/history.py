@@ -24,15 +24,27 @@ def churn(files: DataFrame) -> DataFrame:
 def cochange(files: DataFrame, max_files: int = 0) -> DataFrame:
     """Unordered pairs changed together; 0 means the usual bound, a negative one no bound.
 
-    The files of a commit are gathered once and paired inside the row: one shuffle on the commit and
-    one on the pair, and no join.
+    The files of a commit are gathered once. Each goes to the task of its pairs with the list of those behind it, and is
+    paired there: half of the names travel, and no task before that holds pairs, of which few repeat within a task.
     """
     most = MAX_COMMIT_FILES if max_files == 0 else max_files
     sets = files.groupBy("hash").agg(F.array_sort(F.collect_set("file")).alias("fs"))
     if most > 0:
         sets = sets.where(F.size("fs") <= most)
-    pairs = sets.where("size(fs) > 1").select(F.explode(F.expr("flatten(transform(slice(fs, 1, size(fs) - 1), (a, i) -> transform(slice(fs, i + 2, size(fs)), b -> struct(a as file_a, b as file_b))))")).alias("p"))
-    return pairs.groupBy("p.file_a", "p.file_b").agg(F.count("*").alias("count"))
+    lists = sets.where("size(fs) > 1").select(F.expr("inline(transform(slice(fs, 1, size(fs) - 1), (a, i) -> struct(a as file_a, slice(fs, i + 2, size(fs)) as behind)))"))
+    # a stated number of partitions: merged by the size of the lists they would grow with the square of the commits' files
+    spread = lists.repartition(pair_partitions(files), "file_a")
+    return spread.select("file_a", F.explode("behind").alias("file_b")).groupBy("file_a", "file_b").agg(F.count("*").alias("count"))
+
+
+#: Bytes of (hash, file) for each partition of pairs, and the most partitions; sizes beyond what is plausible are not known.
+PAIR_BYTES, PAIR_PARTITIONS, PLAUSIBLE = 512 << 10, 4096, 1 << 44
+
+
+def pair_partitions(files: DataFrame) -> int:
+    """As many partitions as the session shuffles to, or more where the estimated input asks for it, so that one task's pairs stay about as many."""
+    n, size = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, min(PAIR_PARTITIONS, size // PAIR_BYTES)) if size < PLAUSIBLE else n
 
 
 def neighbours(pairs: DataFrame, path: str, min_count: int = 1) -> DataFrame:

@@ -136,3 +136,17 @@ def test_path_candidates():
     assert lookup.path_candidates("a\\b.py") == ["a\\b.py", "a/b.py"]
     assert lookup.path_candidates("/r/x.py", "/r") == ["x.py"]
     assert lookup.path_candidates("../x") == []
+
+
+def test_tasks_of_pairs_grow_in_number_not_in_size(spark):
+    """Lists travel, not pairs, to as many tasks as the input asks for."""
+    import re
+
+    files = spark.createDataFrame([(h, f"f{i}") for h in range(3) for i in range(h, 4)], "hash long, file string")
+    pairs = history.cochange(files)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(file_a#\d+, file_b", plan)
+    assert {(r.file_a, r.file_b): r["count"] for r in pairs.collect()} == {("f0", "f1"): 1, ("f0", "f2"): 1, ("f0", "f3"): 1, ("f1", "f2"): 2, ("f1", "f3"): 2, ("f2", "f3"): 3}
+    sized = lambda n: history.pair_partitions(spark.range(n).selectExpr("id as hash", "cast(id as string) as file"))
+    assert sized(10) == 4 and 8 <= sized(10**6) < sized(10**7) / 5 <= sized(10**8) / 5
+    assert history.pair_partitions(spark.createDataFrame([], "hash long, file string")) == 4
