@@ -249,3 +249,16 @@ def test_plain_class_equals_the_rules(spark):
         rules = F.when(F.col("p").rlike(form), name) if rules is None else rules.when(F.col("p").rlike(form), name)
     want = {r.p: r.c for r in spark.createDataFrame([(r,) for r in rows], "p string").select("p", rules.otherwise("other").alias("c")).collect()}
     assert {r.p: r.c for r in found} == want
+
+
+def test_decoding_works_in_slices(spark):
+    import pyarrow as pa
+
+    raw = [b"a" * 400_000, None, b"\xff\xfeh\0i\0", b"\0\0\1", b"b" * 3_000_000, b""] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(raw))]), pa.array(raw, pa.binary())], ["rel_path", "content"])
+    out = list(tree.decoded(iter([batch])))
+    assert max(b.nbytes for b in out) < 3_100_000 and len(out) > 6
+    assert [x for b in out for x in b.column("content").to_pylist()] == [tree.decode(x) for x in raw]
+    assert [x for b in out for x in b.column("rel_path").to_pylist()] == [str(i) for i in range(len(raw))]
+    df = spark.createDataFrame([("a", bytearray(b"x"), 1), ("b", bytearray(b"\0\0\1"), 2), ("c", None, 3)], "rel_path string, content binary, n int")
+    assert [tuple(r) for r in tree.contents(df).collect()] == [("a", "x")]
